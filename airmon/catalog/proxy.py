@@ -17,7 +17,6 @@ from airmon import dims
 from airmon.functions import timecol as tc, values as val
 from airmon.operators import direction, quality as qc, reconcile as rec
 from airmon.session import scratch_path
-from airmon.sources.snapshot import settle
 
 SITES = ("DS", "SC", "ST", "NB", "LT", "OL", "MS", "LP", "KE")
 UNKNOWN_AGENCY_SITE = "0099"
@@ -48,6 +47,8 @@ class Proxy:
             "prelim": [dims.PRELIMINARY_NAMES[s] for s in SITES],
             "validated": [dims.VALIDATED_NAMES[s] for s in SITES],
             "site_num": [dims.AGENCY_SITES.get(s, UNKNOWN_AGENCY_SITE) for s in SITES],
+            "from_deg": [dims.ONLAKE_SECTORS[s][0] for s in SITES],
+            "to_deg": [dims.ONLAKE_SECTORS[s][1] for s in SITES],
             "x": [405000.0 + 2500 * i for i in n],
             "y": [4013000.0 + 4000 * i for i in n],
         })
@@ -66,7 +67,7 @@ class Proxy:
     def obs(self) -> DataFrame:
         e = self.table("events")
         day = F.day("ts") % 5
-        return e.join(self.site.join(self.sectors, "abrv"), F.col("user_id") % 9 == F.col("site_id")).select(
+        return e.join(self.site, F.col("user_id") % 9 == F.col("site_id")).select(
             "event_id", "event_type", F.col("site_id").alias("deployment_id"), "abrv", "deployment",
             "prelim", "validated", "site_num", "x", "y",
             (tc.truncate_to_hour("ts") + F.expr("INTERVAL 1 HOUR")).alias("datetime"),
@@ -139,17 +140,17 @@ class Proxy:
 
     @cached_property
     def periods(self) -> DataFrame:
-        """Weekly collections, small next to the counts; landed as a collection table would be."""
+        """Weekly collections."""
         day = F.col("datetime").cast("date")
         monday = F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")
         week = self.sensor.groupBy("deployment_id", monday.alias("start_datetime")).agg(
             val.steady(F.sum("sumpc")).alias("total"))
         d = F.col("deployment_id")
-        return settle(week.select(
+        return week.select(
             d.alias("sensit_deployment_id"), (d + 100).alias("csc_deployment_id"), "start_datetime",
             (F.col("start_datetime") + F.expr("INTERVAL 7 DAY")).alias("collection_datetime"),
             F.when(d == 4, 0.0).otherwise(F.col("total")).alias("sumpc_total"),
-            F.when(d % 2 == 0, 12.0).alias("dwp_mass"), F.when(d != 7, 8.0).alias("district_mass")))
+            F.when(d % 2 == 0, 12.0).alias("dwp_mass"), F.when(d != 7, 8.0).alias("district_mass"))
 
     @cached_property
     def collectors(self) -> DataFrame:

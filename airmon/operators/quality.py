@@ -170,18 +170,20 @@ def flag_lookup(
 ) -> DataFrame:
     """Add one boolean per field: is the reading inside a flag interval (start, end] of that field?
 
-    ``flags`` is (deployment_id, field_id, start_datetime, end_datetime).  Intervals are cut at bucket edges and
-    merged, so a reading meets at most one and the join can neither multiply rows nor pair a hot
-    deployment's readings with all of its flags.
+    ``flags`` is (deployment_id, field_id, start_datetime, end_datetime).  Intervals are cut at bucket
+    edges and merged, so a reading meets at most one and the join can neither multiply rows nor pair
+    a hot deployment's readings with all of its flags.  Buckets no longer than the usual flag keep the
+    merged table smallest.  It is settled, so readings are shuffled only if it is too large to broadcast.
     """
+    lo, hi = "start_datetime", "end_datetime"
+    keys = [id_col, "field_id", "_bucket"]
+    wanted = flags.filter(F.col("field_id").isin(list(fields.values()))).select(
+        F.col("deployment_id").alias(id_col), "field_id", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+    merged = settle(merge_intervals(bucket_intervals(wanted, "_lo", "_hi", bucket_hours, clip=True), keys, "_lo", "_hi"))
     out = df.withColumn("_bucket", bucket_of(dt, bucket_hours))
     for name, field in fields.items():
-        one = flags.filter(F.col("field_id") == field).select(
-            F.col("deployment_id").alias(id_col), F.col("start_datetime").alias("_lo"), F.col("end_datetime").alias("_hi"))
-        cut = bucket_intervals(one, "_lo", "_hi", bucket_hours, clip=True)
-        merged = merge_intervals(cut, [id_col, "_bucket"], "_lo", "_hi")
         hit = out.alias("r").join(
-            merged.alias("f"),
+            merged.filter(F.col("field_id") == field).alias("f"),
             (F.col(f"r.{id_col}") == F.col(f"f.{id_col}"))
             & (F.col("r._bucket") == F.col("f._bucket"))
             & within(F.col(f"r.{dt}"), F.col("f._lo"), F.col("f._hi")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dtm
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airmon.dims import GAP_FILL_PAIRS, REFERENCE_TARGETS
 from airmon.functions import timecol as tc
@@ -100,33 +100,34 @@ def override_direction(df: DataFrame, overrides: DataFrame, keys: Sequence[str]
 def gap_fill_from_neighbour(df: DataFrame, pairs: Sequence[tuple[str, str]] = GAP_FILL_PAIRS) -> DataFrame:
     """Where a site has no direction, take wind from its neighbour at the same hour.
 
-    Pairs apply in order and a filled hour can feed a later pair.  All pairs are worked out in one
-    pass: the involved sites of an hour are put side by side, the chain is evaluated as column
-    expressions, and what each target gained is joined back on (site, hour) once.
+    Pairs apply in order and a filled hour can feed a later pair.  One exchange serves all pairs: the
+    involved sites of an hour are put side by side and the chain is evaluated as column expressions.
+    Expects one row per site-hour, so a window group has one row per site.
     """
+    hour = Window.partitionBy("datetime")
     involved = sorted({s for p in pairs for s in p})
-    side_by_side = df.filter(F.col("abrv").isin(involved)).groupBy("datetime").agg(*[
-        F.max(F.when(F.col("abrv") == s, F.col(v))).alias(f"{v}_{s}") for s in involved for v in ("ws", "wd")
-    ], *[F.max(F.col("abrv") == s).alias(f"has_{s}") for s in involved])
+    peers = {f"_has_{s}": F.max(F.col("abrv") == s).over(hour) for s in involved}
+    for s in involved:
+        for v in ("ws", "wd"):
+            peers[f"_{v}_{s}"] = F.max(F.when(F.col("abrv") == s, F.col(v))).over(hour)
 
-    now = {s: (F.col(f"ws_{s}"), F.col(f"wd_{s}")) for s in involved}
+    now = {s: (F.col(f"_ws_{s}"), F.col(f"_wd_{s}")) for s in involved}
     for target, donor in pairs:
         ws, wd = now[target]
-        gap = F.col(f"has_{target}") & wd.isNull()
+        gap = F.col(f"_has_{target}") & wd.isNull()
         now[target] = (
             F.when(gap, F.coalesce(ws, now[donor][0])).otherwise(ws),
             F.when(gap, now[donor][1]).otherwise(wd),
         )
-    targets = list(dict.fromkeys(t for t, _ in pairs))
-    filled = side_by_side.select("datetime", F.explode(F.array(*[
-        F.struct(F.lit(t).alias("abrv"), now[t][0].alias("_ws"), now[t][1].alias("_wd")) for t in targets
-    ])).alias("f")).select("datetime", "f.*").filter("_ws IS NOT NULL OR _wd IS NOT NULL")
-    return (
-        df.join(filled, ["abrv", "datetime"], "left")
-        .withColumn("ws", F.coalesce("ws", "_ws"))
-        .withColumn("wd", F.coalesce("wd", "_wd"))
-        .select(*df.columns)
-    )
+
+    def pick(v: str, i: int) -> Column:
+        out = F.col(v)
+        for t in dict.fromkeys(t for t, _ in pairs):
+            out = F.when(F.col("abrv") == t, now[t][i]).otherwise(out)
+        return out.alias(v)
+
+    new = {"ws": pick("ws", 0), "wd": pick("wd", 1)}
+    return df.withColumns(peers).select(*[new.get(c, F.col(c)) for c in df.columns])
 
 
 def gap_fill_from_reference(
@@ -191,8 +192,8 @@ def after_last_of(
     Everything is kept where ``earlier`` has nothing.
     """
     if site is None:
-        last = earlier.select(F.max(date)).scalar()
-        return later.filter(last.isNull() | (F.col(date) > last))
+        last = earlier.select(F.coalesce(F.max(date), F.lit("0001-01-01").cast("date"))).scalar()
+        return later.filter(F.col(date) > last)
     # one row per site, settled so that its size is known and the rows need no shuffle
     last = settle(earlier.groupBy(site).agg(F.max(date).alias("_last")))
     return (
@@ -220,10 +221,11 @@ def flux_interval_join(counts: DataFrame, periods: DataFrame, bucket_hours: int
 
     Periods without a mass are left out.  Periods are spread over time buckets and the join is an
     equality on (sensor, bucket) plus the range test, so a long record does not make every count
-    scan every period of its sensor, and a hot sensor is split by time.
+    scan every period of its sensor, and a hot sensor is split by time.  The spread table is settled:
+    counts are shuffled only if it is too large to broadcast.
     """
     usable = periods.filter(F.coalesce("dwp_mass", "district_mass").isNotNull())
-    spread = bucket_intervals(usable, "start_datetime", "collection_datetime", bucket_hours)
+    spread = settle(bucket_intervals(usable, "start_datetime", "collection_datetime", bucket_hours))
     c = counts.withColumn("_bucket", bucket_of("datetime", bucket_hours)).alias("c")
     p = spread.alias("p")
     return c.join(

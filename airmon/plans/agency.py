@@ -24,13 +24,17 @@ def agency_hours(stacked: DataFrame, start, end) -> DataFrame:
 
 
 def spliced_hours(agency: DataFrame, preliminary: DataFrame, teom: DataFrame, sectors: DataFrame) -> DataFrame:
-    """One row per site-hour with its direction class, agency before TEOM before preliminary."""
+    """One row per site-hour with its direction class.
+
+    Each source has one row per site-hour; where several have the hour, TEOM comes first, then the
+    agency, then preliminary.  The winner is chosen before its value is judged.
+    """
     def ranked(df: DataFrame, rank: int) -> DataFrame:
         return df.select(*WIND_PM, F.lit(rank).alias("_rank"))
 
-    rows = rec.priority_splice(ranked(agency, 0), ranked(preliminary, 2), ranked(teom, 1))
-    clean = qc.drop_nonexistent_local(qc.qc_bounds(rows))
-    return direction.classify_onlake(qc.dedup_site_hour(clean, ["_rank"]).drop("_rank"), sectors)
+    rows = rec.priority_splice(ranked(agency, 1), ranked(preliminary, 2), ranked(teom, 0))
+    first = qc.dedup_site_hour(qc.drop_nonexistent_local(rows), ["_rank"]).drop("_rank")
+    return direction.classify_onlake(qc.qc_bounds(first), sectors)
 
 
 def station_report(hours: DataFrame) -> dict[str, DataFrame]:

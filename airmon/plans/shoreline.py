@@ -19,10 +19,16 @@ def exceeding_sites_per_day(readings: DataFrame, order: str, threshold: float =
     return agg.sites_exceeding_per_day(daily.filter(daily["pm10_avg"] >= threshold))
 
 
-def report_hours(validated: DataFrame, preliminary: DataFrame, sectors: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """De-mixed hours of both sources with their direction class."""
+def report_hours(validated: DataFrame, preliminary: DataFrame, sectors: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """De-mixed hours of both sources with their direction class.
+
+    The class is the one the sources carry, or is worked out anew when ``sectors`` are given.
+    """
     hours = qc.drop_mixed_preliminary(rec.reconcile_sources(validated, preliminary))
-    hours = direction.classify_onlake(hours, sectors)
+    if sectors is not None:
+        hours = direction.classify_onlake(hours, sectors)
+    else:
+        hours = hours.withColumn("onlake", hours["onlake_wd"])
     return rec.override_direction(hours, overrides) if overrides is not None else hours
 
 

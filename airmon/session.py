@@ -34,10 +34,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     Only a local session may fall back to a machine-local folder; on a cluster executors could not
     see one, so an unset folder is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="airmon-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="airmon-"))
+        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/airmon-{uuid.uuid4().hex}/{name}"
