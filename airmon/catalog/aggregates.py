@@ -9,6 +9,7 @@ from airmon.catalog.joins import HOURLY_FLUX
 from airmon.catalog.proxy import Proxy
 from airmon.catalog.registry import query
 from airmon.functions import timecol as tc, values as val
+from airmon.operators.calendar import with_hour_ending_date
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
 
 
@@ -26,7 +27,7 @@ def daily_avg_rounded(p: Proxy):
 SELECT CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date, abrv, nullif(pm10, -9999) AS pm10 FROM p_obs) GROUP BY 1, 2""")
 def avg_pm10(p: Proxy):
     rows = qc.sentinel_to_null(p.obs.select("abrv", "datetime", "pm10"))
-    return agg.avg_pm10(rows.withColumn("date", tc.hour_ending_date("datetime")))
+    return agg.avg_pm10(with_hour_ending_date(rows))
 
 
 @query("SELECT date, abrv, hrs_offlake, hrs_onlake FROM p_contribution WHERE hrs_onlake + hrs_offlake > 0")

@@ -9,12 +9,13 @@ from airmon.catalog.proxy import Proxy, in_sector
 from airmon.catalog.registry import query
 from airmon.catalog.sources import SHEET_SQL, WIDE, teom_sheet
 from airmon.functions import timecol as tc, values as val
+from airmon.operators.calendar import with_hour, with_hour_ending_date
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
 
 
 @query("SELECT event_id, datetime, CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date FROM p_obs")
 def hour_ending_date(p: Proxy):
-    return p.obs.select("event_id", "datetime", tc.hour_ending_date("datetime").alias("date"))
+    return with_hour_ending_date(p.obs.select("event_id", "datetime"))
 
 
 @query("SELECT event_id, datetime, CAST(hour(datetime - INTERVAL 1 SECOND) AS INTEGER) AS hour FROM p_obs")
@@ -77,7 +78,7 @@ def excel_serial_date(p: Proxy):
 
 @query("SELECT event_id, ts, date_trunc('hour', ts) AS hour FROM events")
 def truncate_to_hour(p: Proxy):
-    return p.table("events").select("event_id", "ts", tc.truncate_to_hour("ts").alias("hour"))
+    return with_hour(p.table("events").select("event_id", "ts"), "ts", "hour")
 
 
 @query("""SELECT event_id, prelim, validated, abrv AS from_prelim, abrv AS from_validated,

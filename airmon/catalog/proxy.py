@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from airmon import dims
 from airmon.functions import timecol as tc, values as val
 from airmon.operators import direction, quality as qc, reconcile as rec
+from airmon.operators.calendar import with_hour, with_hour_ending_date
 from airmon.session import scratch_path
 
 SITES = ("DS", "SC", "ST", "NB", "LT", "OL", "MS", "LP", "KE")
@@ -24,12 +25,20 @@ NAMES = {81102: "PM10", 61101: "Wind Speed - Scalar", 61102: "Wind Direction - S
          61103: "Wind Speed - Resultant", 61104: "Wind Direction - Resultant"}
 
 
+# given, so that opening a table reads no footers
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+}
+
+
 class Proxy:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def land(self, df: DataFrame, fmt: str, name: str, **options) -> str:
         """Write a derived table as files of the kind a reader expects."""
@@ -65,12 +74,12 @@ class Proxy:
 
     @cached_property
     def obs(self) -> DataFrame:
-        e = self.table("events")
+        e = with_hour(self.table("events"), "ts", "datetime", end=True)
         day = F.day("ts") % 5
         return e.join(self.site, F.col("user_id") % 9 == F.col("site_id")).select(
             "event_id", "event_type", F.col("site_id").alias("deployment_id"), "abrv", "deployment",
             "prelim", "validated", "site_num", "x", "y",
-            (tc.truncate_to_hour("ts") + F.expr("INTERVAL 1 HOUR")).alias("datetime"),
+            "datetime",
             (F.col("value") / 10).alias("ws"),
             F.when(F.col("event_id") % 11 != 0, ((F.col("event_id") * 37) % 360).cast("double")).alias("wd"),
             F.when(F.col("event_id") % 97 == 0, dims.SENTINEL).otherwise(F.col("value") * 3).alias("pm10"),
@@ -83,7 +92,7 @@ class Proxy:
         """Quality-controlled readings of both sources, still several per site-hour."""
         cols = ("event_id", "abrv", "datetime", "ws", "wd", "pm10", "onlake_wd", "valid")
         clean = qc.qc_bounds(qc.sentinel_to_null(self.obs.select(*cols)))
-        return clean.withColumn("date", tc.hour_ending_date("datetime"))
+        return with_hour_ending_date(clean)
 
     def source(self, valid: bool) -> DataFrame:
         """One source, one row per site-hour."""
@@ -125,10 +134,10 @@ class Proxy:
         code = F.when(F.col("event_id") % 5 == 0, 81102)
         for i, c in enumerate((61101, 61102, 61103, 61104), start=1):
             code = code.when(F.col("event_id") % 5 == i, c)
-        hour = tc.truncate_to_hour("ts")
-        return self.table("events").join(self.site, F.col("user_id") % 9 == F.col("site_id")).select(
-            "event_id", "event_type", "abrv", "site_num", hour.alias("datetime_utc"), hour.cast("date").alias("date_utc"),
-            F.concat(F.lpad(F.hour("ts").cast("string"), 2, "0"), F.lit(":00")).alias("hour_utc"),
+        hour = F.col("datetime_utc")
+        return with_hour(self.table("events"), "ts", "datetime_utc").join(self.site, F.col("user_id") % 9 == F.col("site_id")).select(
+            "event_id", "event_type", "abrv", "site_num", hour, hour.cast("date").alias("date_utc"),
+            F.concat(F.lpad(F.hour(hour).cast("string"), 2, "0"), F.lit(":00")).alias("hour_utc"),
             code.alias("code"), val.lookup(code.cast("string"), {str(k): v for k, v in NAMES.items()}).alias("desc"),
             "value", F.lit("units").alias("units"))
 

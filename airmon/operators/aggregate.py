@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airmon.dims import BACKGROUND, DAY_HOURS
-from airmon.functions import timecol as tc
 from airmon.functions.values import half_even, steady
 
 SITE_DAY = ("date", "abrv")
@@ -148,10 +147,11 @@ def missing_hours(df: DataFrame, site: str = "abrv", dt: str = "datetime") -> Da
 
 
 def hourly_flux_sum(df: DataFrame, by: Sequence[str] = (), dt: str = "datetime") -> DataFrame:
-    return (
-        df.groupBy(*by, tc.hour_ending_date(dt).alias("date"), tc.hour_ending_hour(dt).alias("hour"))
-        .agg(steady(F.sum("sand_flux")).alias("sand_flux"))
-    )
+    """Sums per hour-ending date and hour.  Hours are grouped as windows, named after the aggregate."""
+    hour = F.window(dt, "1 hour", "1 hour", "1 second").alias("_hour")
+    sums = df.groupBy(*by, hour).agg(steady(F.sum("sand_flux")).alias("sand_flux"))
+    start = F.col("_hour.start")
+    return sums.select(*by, start.cast("date").alias("date"), F.hour(start).alias("hour"), "sand_flux")
 
 
 def sites_exceeding_per_day(exceeding: DataFrame) -> DataFrame:

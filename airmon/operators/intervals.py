@@ -9,18 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from airmon.functions.timecol import col
+from airmon.operators.calendar import with_bucket
 
-
-def bucket_of(dt: Column | str, hours: int = 24) -> Column:
-    """Start of the bucket (b, b + hours] a stamp falls in; ``hours`` must divide 24."""
-    if hours < 1 or 24 % hours:
-        raise ValueError("bucket hours must divide 24")
-    t = col(dt) - F.expr("INTERVAL '0.000001' SECOND")
-    start = t.cast("date").cast("timestamp_ntz")
-    if hours == 24:
-        return start
-    return start + F.make_dt_interval(F.lit(0), (F.hour(t) / hours).cast("int") * hours)
+INSTANT = "INTERVAL '0.000001' SECOND"
 
 
 def within(t: Column, start: Column, end: Column) -> Column:
@@ -30,14 +21,18 @@ def within(t: Column, start: Column, end: Column) -> Column:
 def bucket_intervals(
     df: DataFrame, start: str, end: str, hours: int = 24, bucket: str = "_bucket", clip: bool = False
 ) -> DataFrame:
-    """One row per bucket an interval touches, optionally cut at the bucket's edges."""
-    step = F.expr(f"INTERVAL '{hours}' HOUR")
-    first = bucket_of(F.col(start) + F.expr("INTERVAL '0.000001' SECOND"), hours)
-    out = df.filter(F.col(start) < F.col(end)).withColumn(
-        bucket, F.explode(F.sequence(first, bucket_of(end, hours), step)))
+    """One row per bucket an interval touches, optionally cut at the bucket's edges.
+
+    Bucket ids are those of ``with_bucket``: the first instant after the bucket's left edge.
+    """
+    step, instant = F.expr(f"INTERVAL '{hours}' HOUR"), F.expr(INSTANT)
+    real = df.filter(F.col(start) < F.col(end)).withColumn("_from", F.col(start) + instant)
+    ends = with_bucket(with_bucket(real, "_from", hours, "_first"), end, hours, "_last")
+    out = ends.withColumn(bucket, F.explode(F.sequence("_first", "_last", step))).drop("_from", "_first", "_last")
     if clip:
-        out = out.withColumn(start, F.greatest(start, bucket)).withColumn(
-            end, F.least(F.col(end), F.col(bucket) + step))
+        edge = F.col(bucket) - instant
+        out = out.withColumn(start, F.greatest(F.col(start), edge)).withColumn(
+            end, F.least(F.col(end), edge + step))
     return out
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from airmon.dims import LOCAL_ZONE, PM10_FLOOR, SENTINEL
 from airmon.functions import timecol as tc
-from airmon.operators.intervals import bucket_intervals, bucket_of, merge_intervals, within
+from airmon.operators.calendar import with_bucket
+from airmon.operators.intervals import bucket_intervals, merge_intervals, within
 from airmon.sources.snapshot import settle
 
 
@@ -180,7 +181,7 @@ def flag_lookup(
     wanted = flags.filter(F.col("field_id").isin(list(fields.values()))).select(
         F.col("deployment_id").alias(id_col), "field_id", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
     merged = settle(merge_intervals(bucket_intervals(wanted, "_lo", "_hi", bucket_hours, clip=True), keys, "_lo", "_hi"))
-    out = df.withColumn("_bucket", bucket_of(dt, bucket_hours))
+    out = with_bucket(df, dt, bucket_hours)
     for name, field in fields.items():
         hit = out.alias("r").join(
             merged.filter(F.col("field_id") == field).alias("f"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airmon.dims import GAP_FILL_PAIRS, REFERENCE_TARGETS
 from airmon.functions import timecol as tc
-from airmon.operators.intervals import bucket_intervals, bucket_of, within
+from airmon.operators.calendar import with_bucket, with_hour_ending_date
+from airmon.operators.intervals import bucket_intervals, within
 from airmon.sources.snapshot import settle
 
 OBS_VALUES = ("date", "ws", "wd", "pm10", "onlake_wd", "valid")
@@ -49,11 +50,8 @@ def reconcile_hours(
     picked = [
         F.coalesce(F.min_by(c, first_valid), F.min_by(c, first_other)).alias(c) for c in values
     ]
-    return (
-        readings.groupBy(*keys)
-        .agg(*picked, F.max("valid").alias("valid"))
-        .withColumn("date", tc.hour_ending_date("datetime"))
-    )
+    hours = readings.groupBy(*keys).agg(*picked, F.max("valid").alias("valid"))
+    return with_hour_ending_date(hours)
 
 
 def attach_met(pm: DataFrame, met: DataFrame, keys: Sequence[str] = ("abrv", "datetime")) -> DataFrame:
@@ -226,7 +224,7 @@ def flux_interval_join(counts: DataFrame, periods: DataFrame, bucket_hours: int
     """
     usable = periods.filter(F.coalesce("dwp_mass", "district_mass").isNotNull())
     spread = settle(bucket_intervals(usable, "start_datetime", "collection_datetime", bucket_hours))
-    c = counts.withColumn("_bucket", bucket_of("datetime", bucket_hours)).alias("c")
+    c = with_bucket(counts, "datetime", bucket_hours).alias("c")
     p = spread.alias("p")
     return c.join(
         p,

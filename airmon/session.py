@@ -8,7 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app: str = "airmon", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "airmon", master: str | None = None, partitions: int | None = None, **extra: str
+) -> SparkSession:
     """A session with the settings the operators expect.
 
     On a cluster leave ``master`` and ``partitions`` unset: the submit command names the master, and
@@ -20,11 +22,15 @@ def build_session(app: str = "airmon", master: str | None = None, partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # no call-site capture per Column: plans here are built from many small expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
+    for key, value in extra.items():
+        b = b.config(key, value)
     return b.getOrCreate()
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from airmon.dims import LOCAL_ZONE, PRELIMINARY_NAMES, VALIDATED_NAMES
 from airmon.functions import timecol as tc
 from airmon.functions.values import site_code
+from airmon.operators.calendar import with_hour, with_hour_ending_date
 from airmon.operators.quality import dedup_site_hour, drop_nonexistent_local, nan_to_null, qc_bounds
 
 OBS = ("abrv", "datetime", "date", "ws", "wd", "pm10", "onlake_wd", "valid")
@@ -32,12 +33,7 @@ def _hourly(
         *[c.alias(n) for n, c in columns.items()], *order,
     )
     clean = qc_bounds(drop_nonexistent_local(nan_to_null(obs), zone=zone))
-    return (
-        dedup_site_hour(clean, order)
-        .withColumn("date", tc.hour_ending_date("datetime"))
-        .withColumn("valid", F.lit(valid))
-        .select(*OBS)
-    )
+    return with_hour_ending_date(dedup_site_hour(clean, order)).withColumn("valid", F.lit(valid)).select(*OBS)
 
 
 def read_preliminary(
@@ -99,9 +95,8 @@ def read_teom_by_era(
         rows = table.filter(tc.in_hour_range("datetime", start, end) & ~F.col("invalid"))
         if sites is not None:
             rows = rows.filter(F.col("deployment").isin(list(sites)))
-        return rows.select(
-            tc.truncate_to_hour("datetime").alias("datetime"), "deployment", F.col(value).alias("pm10"),
-            F.lit(era).alias("era"))
+        return with_hour(rows, "datetime", "datetime").select(
+            "datetime", "deployment", F.col(value).alias("pm10"), F.lit(era).alias("era"))
 
     parts = []
     if start <= change:
