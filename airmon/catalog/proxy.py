@@ -181,13 +181,13 @@ class Proxy:
     def record(self) -> DataFrame:
         o = self.table("orders")
         k = F.col("o_orderkey")
-        return o.join(self.site, F.col("o_custkey") % 9 == F.col("site_id")).select(
+        return with_hour_ending_date(o.join(self.site, F.col("o_custkey") % 9 == F.col("site_id")).select(
             k.alias("row_id"), "abrv", F.col("prelim").alias("deployment"),
             (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24 + 1).cast("int"))).alias("datetime"),
             F.when(k % 13 != 0, (k % 97).cast("double") / 8).alias("ws"),
             F.when(k % 11 != 0, ((k * 37) % 360).cast("double")).alias("wd"),
             (F.col("o_totalprice") / 1000).alias("pm10"),
-        ).withColumn("date", tc.hour_ending_date("datetime"))
+        ))
 
 
 def _values() -> str:
@@ -205,6 +205,22 @@ def in_sector(wd: str, lo: str, hi: str) -> str:
             f"ELSE {wd} BETWEEN {lo} AND 360 OR {wd} BETWEEN 0 AND {hi} END")
 
 
+def conditional_means(source: str) -> str:
+    return f"""SELECT date, abrv,
+ round_even(round(avg(pm10), 6), 0) AS pm10_24, count(pm10) AS n,
+ round_even(round(avg(pm10) FILTER (WHERE onlake), 6), 0) AS pm10_onlake, count(pm10) FILTER (WHERE onlake) AS n_onlake,
+ round_even(round(avg(pm10) FILTER (WHERE dunes), 6), 0) AS pm10_dunes, count(pm10) FILTER (WHERE dunes) AS n_dunes,
+ round_even(round(avg(pm10) FILTER (WHERE NOT onlake), 6), 0) AS pm10_offlake,
+ count(pm10) FILTER (WHERE NOT onlake) AS n_offlake
+FROM {source} GROUP BY 1, 2"""
+
+
+def exceeding_only(source: str) -> str:
+    return f"""SELECT date, abrv, pm10_24, n, coalesce(pm10_onlake, 0) AS pm10_onlake, n_onlake,
+ coalesce(pm10_dunes, 0) AS pm10_dunes, n_dunes, coalesce(pm10_offlake, 0) AS pm10_offlake, n_offlake
+FROM {source} WHERE pm10_24 >= 150"""
+
+
 VIEWS: dict[str, str] = {
     "p_site": f"""SELECT site_id, abrv, deployment, prelim, validated, site_num,
  CAST(from_deg AS DOUBLE) AS from_deg, CAST(to_deg AS DOUBLE) AS to_deg, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y
@@ -265,16 +281,8 @@ SELECT o_orderkey AS row_id, abrv, prelim AS deployment,
  CASE WHEN o_orderkey % 11 <> 0 THEN CAST((o_orderkey * 37) % 360 AS DOUBLE) END AS wd,
  o_totalprice / 1000 AS pm10
 FROM orders JOIN p_site ON o_custkey % 9 = site_id)""",
-    "p_conditional": """SELECT date, abrv,
- round_even(round(avg(pm10), 6), 0) AS pm10_24, count(pm10) AS n,
- round_even(round(avg(pm10) FILTER (WHERE onlake), 6), 0) AS pm10_onlake, count(pm10) FILTER (WHERE onlake) AS n_onlake,
- round_even(round(avg(pm10) FILTER (WHERE dunes), 6), 0) AS pm10_dunes, count(pm10) FILTER (WHERE dunes) AS n_dunes,
- round_even(round(avg(pm10) FILTER (WHERE NOT onlake), 6), 0) AS pm10_offlake,
- count(pm10) FILTER (WHERE NOT onlake) AS n_offlake
-FROM p_classified GROUP BY 1, 2""",
-    "p_exceeding": """SELECT date, abrv, pm10_24, n, coalesce(pm10_onlake, 0) AS pm10_onlake, n_onlake,
- coalesce(pm10_dunes, 0) AS pm10_dunes, n_dunes, coalesce(pm10_offlake, 0) AS pm10_offlake, n_offlake
-FROM p_conditional WHERE pm10_24 >= 150""",
+    "p_conditional": conditional_means("p_classified"),
+    "p_exceeding": exceeding_only("p_conditional"),
     "p_contribution": """SELECT date, abrv, n, hrs_onlake, hrs_offlake, preliminary, daily_avg,
  CASE WHEN hrs_onlake + hrs_offlake > 0 THEN round_even(round(coalesce(on_sum, 0) / n, 6), 0) END AS onlake,
  CASE WHEN hrs_onlake + hrs_offlake > 0 THEN round_even(round(coalesce(off_sum, 0) / n, 6), 0) END AS offlake

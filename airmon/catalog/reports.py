@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airmon.catalog.aggregates import BACKFILL, BACKFILL_SQL
-from airmon.catalog.proxy import Proxy
+from airmon.catalog.aggregates import BACKFILL_SQL
+from airmon.catalog.joins import NEIGHBOUR_SQL
+from airmon.catalog.proxy import Proxy, conditional_means, exceeding_only, in_sector
 from airmon.catalog.registry import query
-from airmon.operators import aggregate as agg, exceedance as exc
+from airmon.catalog.reshapes import met_sheet
+from airmon.catalog.sources import teom_sheet
+from airmon.operators import aggregate as agg, exceedance as exc, quality as qc
+from airmon.plans import agency, flux, history, shoreline
+from airmon.sources import tables
 
 
 def _exceeding(p: Proxy):
@@ -59,3 +64,90 @@ def daily_map_labels(p: Proxy):
 @query("SELECT abrv, datetime, pm10 AS value FROM p_demixed ORDER BY abrv, datetime")
 def continuity_series(p: Proxy):
     return exc.continuity_series(p.demixed)
+
+
+# ---- whole reports ----------------------------------------------------------------------------------
+
+JANUARY = ("2024-01-01", "2024-01-31")
+
+
+@query("""SELECT date, CASE WHEN deployment = 'Olancha' THEN 'Olancha*' ELSE deployment END AS site,
+ CASE WHEN known > 0 THEN round_even(round(coalesce(on_sum, 0) / n, 6), 0) END AS onlake,
+ CASE WHEN known > 0 THEN round_even(round(coalesce(off_sum, 0) / n, 6), 0) END AS offlake
+FROM (SELECT date, abrv, count(*) AS n, count(onlake_wd) AS known, sum(pm10) FILTER (WHERE onlake_wd) AS on_sum,
+ sum(pm10) FILTER (WHERE NOT onlake_wd) AS off_sum FROM p_demixed GROUP BY 1, 2
+ HAVING round_even(round(avg(pm10), 6), 0) >= 150) JOIN p_site USING (abrv)""")
+def shoreline_report(p: Proxy):
+    """Site table of every exceedance day, from the two source tables on."""
+    hours = shoreline.report_hours(
+        tables.read_validated(p.validated_table, *JANUARY), tables.read_preliminary(p.preliminary_table, *JANUARY))
+    return shoreline.report_tables(hours, p.site)["site_table"]
+
+
+_CODE = "max(v) FILTER (WHERE code = {})"
+
+
+@query(f"""SELECT date, abrv, pm10_24, pm10_onlake, pm10_offlake,
+ CASE WHEN pm10_24 > 150 THEN 'red' WHEN pm10_24 <= 150 THEN 'black' END AS flag_color FROM (
+WITH a AS (SELECT abrv, datetime_utc AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS datetime, code,
+ min_by(value, event_id) AS v FROM p_measurement WHERE site_num <> '0099' GROUP BY 1, 2, 3),
+agency AS (SELECT abrv, datetime, CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date, {_CODE.format(81102)} AS pm10,
+ coalesce({_CODE.format(61104)}, {_CODE.format(61102)}) AS wd FROM a
+ WHERE CAST(datetime - INTERVAL 1 SECOND AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-25' GROUP BY 1, 2, 3),
+last AS (SELECT year(date) AS yr, max(date) AS last FROM agency GROUP BY 1),
+spliced AS (
+ SELECT abrv, datetime, date, wd, pm10, 1 AS rank FROM agency JOIN last ON yr = year(date) WHERE month(last) = 12 AND day(last) = 31 OR date < last
+ UNION ALL SELECT abrv, datetime, date, wd, pm10, 2 FROM p_source LEFT JOIN last ON yr = year(date)
+  WHERE NOT valid AND (last IS NULL OR (NOT (month(last) = 12 AND day(last) = 31) AND date >= last))
+ UNION ALL SELECT abrv, datetime, date, wd, pm10, 0 FROM p_source WHERE valid AND abrv = 'OL'),
+first AS (SELECT *, row_number() OVER (PARTITION BY abrv, datetime ORDER BY rank) AS k FROM spliced),
+hours AS (SELECT f.*, {in_sector("wd", "from_deg", "to_deg")} AS onlake FROM first f JOIN p_site s ON s.abrv = f.abrv WHERE k = 1 AND pm10 > -15)
+SELECT date, abrv, round_even(round(sum(pm10) / count(pm10), 6), 0) AS pm10_24,
+ round_even(round(coalesce(sum(pm10) FILTER (WHERE onlake), 0) / count(pm10), 6), 0) AS pm10_onlake,
+ round_even(round(coalesce(sum(pm10) FILTER (WHERE NOT onlake), 0) / count(pm10), 6), 0) AS pm10_offlake
+FROM hours GROUP BY 1, 2)""")
+def agency_station_report(p: Proxy):
+    """Daily station table of agency hours spliced with preliminary and TEOM hours."""
+    keys = ["site_num", "date_utc", "hour_utc", "code"]
+    stacked = qc.first_by(p.measurement.select(*keys, "value", "event_id"), keys, ["event_id"])
+    spliced = agency.spliced_hours(
+        agency.agency_hours(stacked, "2024-01-01", "2024-01-25"), p.source(False),
+        p.source(True).filter(F.col("abrv") == "OL"), p.sectors)
+    return agency.station_report(spliced)["daily"]
+
+
+@query("""SELECT *, round(hours / sum(hours) OVER (PARTITION BY csc), 6) AS share FROM (
+SELECT csc, CAST(floor(((wd + 11.25) % 360) / 22.5) AS INTEGER) AS sector,
+ CAST(CASE WHEN sand_flux < 2 THEN 0 WHEN sand_flux < 4 THEN 1 WHEN sand_flux < 6 THEN 2 WHEN sand_flux < 8 THEN 3 ELSE 4 END AS INTEGER) AS class,
+ CASE WHEN sand_flux < 2 THEN '<2' WHEN sand_flux < 4 THEN '2-4' WHEN sand_flux < 6 THEN '4-6' WHEN sand_flux < 8 THEN '6-8' ELSE '>=8' END AS label,
+ count(*) AS hours
+FROM (SELECT 'csc-' || s.abrv AS csc, CAST(f.datetime - INTERVAL 1 SECOND AS DATE) AS date, hour(f.datetime - INTERVAL 1 SECOND) AS hour,
+ round(sum(sand_flux), 6) AS sand_flux FROM p_flux f JOIN p_site s ON s.site_id + 100 = f.csc_deployment_id
+ WHERE NOT EXISTS (SELECT 1 FROM p_flag g WHERE g.deployment_id = f.sensit_deployment_id AND g.field_id = 90
+  AND f.datetime > g.start_datetime AND f.datetime <= g.end_datetime) GROUP BY 1, 2, 3) h
+JOIN (SELECT CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date, hour(datetime - INTERVAL 1 SECOND) AS hour, wd_10m AS wd
+ FROM p_met WHERE deployment = 'Keeler') m ON m.date = h.date AND m.hour = h.hour
+WHERE wd IS NOT NULL GROUP BY 1, 2, 3, 4)""")
+def sand_flux_rose(p: Proxy):
+    """Roses of hourly flux per collector with one station's wind, flagged counts left out."""
+    counts = flux.sand_flux(p.sensor, p.periods, p.collectors, p.flags, flag_bucket_hours=1)
+    met = tables.read_met_hourly(p.met_table, p.deployments, sites=["Keeler"])
+    return flux.flux_rose(flux.hourly_flux_with_wind(qc.drop_invalid_flag(counts), met))
+
+
+@query(f"""SELECT date, abrv, pm10_24, pm10_onlake, pm10_offlake, n,
+ CASE WHEN pm10_offlake >= 150 AND pm10_onlake < 150 THEN 'offlake' WHEN pm10_onlake >= 150 AND pm10_offlake < 150 THEN 'onlake'
+ ELSE 'mixed' END AS class FROM (
+WITH n AS ({NEIGHBOUR_SQL}),
+r AS (SELECT n.abrv, n.datetime, n.pm10, coalesce(n.wd, m.wd_10m) AS wd FROM n
+ LEFT JOIN p_met m ON n.abrv IN ('MS', 'KE') AND m.deployment = 'Lone Pine' AND m.datetime = n.datetime),
+h AS (SELECT r.*, CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date, {in_sector("wd", "from_deg", "to_deg")} AS onlake,
+ wd BETWEEN 296 AND 337 AND r.abrv = 'KE' AS dunes FROM r JOIN p_site s ON s.abrv = r.abrv),
+c AS ({conditional_means("h")}), e AS ({exceeding_only("c")})
+SELECT date, abrv, {BACKFILL_SQL} FROM e)""")
+def workbook_exceedances(p: Proxy):
+    """Exceedances of a gap-filled workbook, backfilled to full days and classified."""
+    station = tables.read_met_hourly(p.met_table, p.deployments, sites=["Lone Pine"])
+    hours = history.workbook_hours(teom_sheet(p), met_sheet(p), station)
+    return history.attributed_days(hours, p.sectors).select(
+        "date", "abrv", "pm10_24", "pm10_onlake", "pm10_offlake", "n", "class")
