@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from airmon import dims
 from airmon.catalog.joins import HOURLY_FLUX
 from airmon.catalog.proxy import Proxy
 from airmon.catalog.registry import query
-from airmon.functions import timecol as tc, values as val
+from airmon.functions import values as val
+from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec
 from airmon.operators.calendar import with_hour_ending_date
-from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
+from airmon.operators.exceedance import exceedances, exceeding_days
+from airmon.plans.shoreline import exceeding_sites_per_day
 
 
 @query("SELECT date, abrv, pm10_avg FROM p_daily")
@@ -57,8 +58,6 @@ BACKFILL_SQL = ", ".join(f"{backfilled(m, n)}, {n}" for m, n in agg.BACKFILLED)
 
 @query(f"SELECT date, abrv, {BACKFILL_SQL} FROM p_exceeding")
 def backfill_24h(p: Proxy):
-    from airmon.operators.exceedance import exceeding_days
-
     return agg.backfill_24h(exceeding_days(agg.sector_conditional_means(p.classified)))
 
 
@@ -107,8 +106,6 @@ def hourly_flux_sum(p: Proxy):
 
 @query("SELECT date, count(*) AS no_sites_exceeding FROM p_daily WHERE pm10_avg >= 150 GROUP BY 1")
 def sites_exceeding_per_day(p: Proxy):
-    from airmon.plans.shoreline import exceeding_sites_per_day
-
     cols = ("event_id", "abrv", "datetime", "ws", "wd", "pm10", "onlake_wd", "valid")
     return exceeding_sites_per_day(p.obs.select(*cols), "event_id")
 
@@ -132,8 +129,6 @@ def rose_table(p: Proxy):
 
 @query("SELECT DISTINCT date FROM p_daily WHERE pm10_avg >= 150 AND abrv IN ('OL', 'KE', 'DS')")
 def distinct_exceed_days(p: Proxy):
-    from airmon.operators.exceedance import exceedances
-
     return agg.distinct_exceed_days(exceedances(p.demixed), ["OL", "KE", "DS"])
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airmon import dims
-from airmon.catalog.proxy import Proxy, in_sector
+from airmon.catalog.proxy import Proxy
 from airmon.catalog.registry import query
-from airmon.catalog.sources import SHEET_SQL, WIDE, teom_sheet
+from airmon.catalog.sources import SHEET_SQL, teom_sheet
 from airmon.functions import timecol as tc, values as val
-from airmon.operators.calendar import with_hour, with_hour_ending_date
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
+from airmon.operators.calendar import with_hour, with_hour_ending_date
 
 
 @query("SELECT event_id, datetime, CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date FROM p_obs")

@@ -12,15 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function of the proxy tables under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function of the proxy tables under its own name or the given one."""
     def add(fn: Callable[[Proxy], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(Proxy(spark, sf_dir))
 
-        QUERIES[fn.__name__] = run
+        QUERIES[name or fn.__name__] = run
         if sql:
-            ORACLES[fn.__name__] = with_views(sql)
+            ORACLES[name or fn.__name__] = with_views(sql)
         return fn
 
     return add

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airmon import dims, schemas
-from airmon.catalog.proxy import SITES, Proxy, in_sector
+from airmon.catalog.proxy import SITES, Proxy
 from airmon.catalog.registry import query
 from airmon.functions import timecol as tc
-from airmon.operators import direction, exceedance as exc, quality as qc, reshape
+from airmon.operators import reshape
 from airmon.plans import shoreline
 from airmon.session import scratch_path
 from airmon.sources import files, sinks, tables
@@ -172,7 +172,7 @@ def read_flux_csv(p: Proxy):
     return files.read_flux_csv(p.spark, p.land(rows, "csv", "flux", header=True))
 
 
-@query("SELECT abrv, datetime, date, ws, wd, pm10, onlake_wd, valid FROM p_hours")
+@query("SELECT abrv, datetime, date, ws, wd, pm10, onlake_wd, valid FROM p_hours", name="snapshot")
 def snapshot_hours(p: Proxy):
     path = scratch_path(p.spark, "hours")
     hours = p.hours.select(*tables.OBS)
@@ -180,13 +180,6 @@ def snapshot_hours(p: Proxy):
     return snapshot(hours, path, refresh=False)
 
 
-# the survey's name for the switchable save
-from airmon.catalog.registry import ORACLES, QUERIES  # noqa: E402
-
-QUERIES["snapshot"] = QUERIES.pop("snapshot_hours")
-ORACLES["snapshot"] = ORACLES.pop("snapshot_hours")
-
-
 # ---- J ---------------------------------------------------------------------------------------------
 
 DAYS = [f"2024-01-{d:02d}" for d in (3, 4, 17, 18, 24, 27)]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from airmon.functions import timecol as tc, values as val
 from airmon.operators import quality as qc
+from airmon.operators.calendar import with_bucket, with_hour, with_hour_ending_date
 from conftest import d, rows, t
 
 
@@ -112,3 +113,23 @@ def test_period_equals_the_plain_form(spark):
     assert rows(qc.filter_period(df, "2017-01-01", "2017-01-02"), "datetime") == rows(plain, "datetime")
     hours = [r[0] for r in qc.filter_hour_range(df, "2017-01-01", "2017-01-02").collect()]
     assert hours == [t("2017-01-03 00:00:00")]
+
+
+def test_calendar_operators_equal_the_expressions(spark):
+    stamps = ["1969-12-31 23:59:59.999999", "1969-06-01 00:00:00", "1970-01-01 00:00:00", "2017-01-02 00:00:00", "2017-01-02 00:00:00.999999",
+              "2017-01-02 00:00:01", "2017-03-12 02:30:00", "2017-11-05 01:59:59.5", "2024-02-29 12:00:00"]
+    df = spark.createDataFrame([(t(x),) for x in stamps] + [(None,)], "dt timestamp_ntz")
+    got = with_hour(with_hour(with_hour_ending_date(df, "dt"), "dt", "h"), "dt", "e", end=True)
+    want = df.select("dt", tc.hour_ending_date("dt").alias("date"), tc.truncate_to_hour("dt").alias("h"),
+                     (tc.truncate_to_hour("dt") + F.expr("INTERVAL 1 HOUR")).alias("e"))
+    assert rows(got, "dt") == rows(want, "dt")
+    assert got.columns == want.columns
+
+
+def test_buckets_are_closed_on_the_right(spark):
+    df = spark.createDataFrame([(t(x),) for x in (
+        "2017-01-01 06:00:00", "2017-01-01 06:00:00.000001", "2017-01-01 12:00:00", "2017-01-01 12:00:00.000001")], "dt timestamp_ntz")
+    ids = [r._bucket for r in with_bucket(df, "dt", 6).orderBy("dt").collect()]
+    assert ids[0] != ids[1] == ids[2] != ids[3]
+    with pytest.raises(ValueError):
+        with_bucket(df, "dt", 5)
