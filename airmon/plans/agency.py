@@ -33,8 +33,8 @@ def spliced_hours(agency: DataFrame, preliminary: DataFrame, teom: DataFrame, se
         return df.select(*WIND_PM, F.lit(rank).alias("_rank"))
 
     rows = rec.priority_splice(ranked(agency, 1), ranked(preliminary, 2), ranked(teom, 0))
-    first = qc.dedup_site_hour(qc.drop_nonexistent_local(rows), ["_rank"]).drop("_rank")
-    return direction.classify_onlake(qc.qc_bounds(first), sectors)
+    first = qc.dedup_site_hour(rows, ["_rank"]).drop("_rank")
+    return direction.classify_onlake(qc.qc_bounds(qc.drop_nonexistent_local(first)), sectors)
 
 
 def station_report(hours: DataFrame) -> dict[str, DataFrame]:
