@@ -12,7 +12,9 @@ from airmon.catalog.reshapes import met_sheet
 from airmon.catalog.sources import teom_sheet
 from airmon.operators import aggregate as agg, exceedance as exc, quality as qc
 from airmon.plans import agency, flux, history, shoreline
+from airmon.session import scratch_path
 from airmon.sources import tables
+from airmon.sources.snapshot import snapshot
 
 
 def _exceeding(p: Proxy):
@@ -110,9 +112,9 @@ def agency_station_report(p: Proxy):
     """Daily station table of agency hours spliced with preliminary and TEOM hours."""
     keys = ["site_num", "date_utc", "hour_utc", "code"]
     stacked = qc.first_by(p.measurement.select(*keys, "value", "event_id"), keys, ["event_id"])
+    hours = snapshot(agency.agency_hours(stacked, "2024-01-01", "2024-01-25"), scratch_path(p.spark, "agency"))
     spliced = agency.spliced_hours(
-        agency.agency_hours(stacked, "2024-01-01", "2024-01-25"), p.source(False),
-        p.source(True).filter(F.col("abrv") == "OL"), p.sectors)
+        hours, p.source(False), p.source(True).filter(F.col("abrv") == "OL"), p.sectors)
     return agency.station_report(spliced)["daily"]
 
 

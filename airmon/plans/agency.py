@@ -18,15 +18,15 @@ def agency_hours(stacked: DataFrame, start, end) -> DataFrame:
     The fall-back hour exists twice in UTC; the lower UTC stamp wins.
     """
     local = qc.filter_period(agency_long(stacked), start, end)
-    order = F.unix_timestamp(F.concat_ws(" ", "date_utc", "hour_utc"), "yyyy-MM-dd HH:mm")
-    wide = reshape.pivot_parameters(local.withColumn("_order", order), ["abrv", "datetime", "date"], "_order")
+    wide = reshape.pivot_parameters(local, ["abrv", "datetime", "date"], "datetime_utc")
     return reshape.resultant_over_scalar(wide).withColumn("ws", knots_to_mps("ws")).select(*WIND_PM)
 
 
 def spliced_hours(agency: DataFrame, preliminary: DataFrame, teom: DataFrame, sectors: DataFrame) -> DataFrame:
     """One row per site-hour with its direction class.
 
-    Each source has one row per site-hour; where several have the hour, TEOM comes first, then the
+    ``agency`` is read for its rows and for its last day of each year: pass a snapshot of it.  Each
+    source has one row per site-hour; where several have the hour, TEOM comes first, then the
     agency, then preliminary.  The winner is chosen before its value is judged.
     """
     def ranked(df: DataFrame, rank: int) -> DataFrame:

@@ -104,12 +104,12 @@ def read_aqs_api_csv(
 
 
 def agency_long(hourly: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
-    """Stacked hourly rows with site code, local time and hour-ending date; unknown sites go."""
-    utc = tc.local_from_parts("date_utc", "hour_utc")
+    """Stacked hourly rows with site code, UTC and local time and hour-ending date; unknown sites go."""
     return (
         hourly.withColumn("abrv", site_code("site_num", AGENCY_SITES))
         .filter(F.col("abrv").isNotNull())
-        .withColumn("datetime", tc.utc_to_local(utc, zone))
+        .withColumn("datetime_utc", tc.local_from_parts("date_utc", "hour_utc"))
+        .withColumn("datetime", tc.utc_to_local("datetime_utc", zone))
         .withColumn("date", tc.hour_ending_date("datetime"))
     )
 

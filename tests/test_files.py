@@ -131,3 +131,20 @@ def test_sorted_csv(spark, tmp_path):
     sinks.write_sorted_csv(spark.range(1000).selectExpr("(id * 37) % 1000 AS datetime"), str(out))
     values = [int(x) for f in sorted(out.glob("part-*.csv")) for x in f.read_text().splitlines()[1:]]
     assert values == list(range(1000))
+
+
+def test_agency_hours_over_the_autumn_change(spark):
+    from airmon.plans import agency
+    from airmon.schemas import AGENCY_HOURLY
+
+    def row(hour, code, value, site="0029"):
+        return (site, d("2017-11-05"), hour, code, "x", value, "u")
+
+    stacked = spark.createDataFrame([
+        row("09:00", 81102, 2.0), row("08:00", 81102, 1.0), row("08:00", 61101, 10.0), row("10:00", 81102, 3.0),
+        row("10:00", 61104, 90.0), row("10:00", 61102, 80.0), row("07:00", 81102, 9.0), row("08:00", 81102, 7.0, "9999"),
+    ], AGENCY_HOURLY)
+    got = agency.agency_hours(stacked, "2017-11-05", "2017-11-05")
+    # 07:00 UTC is local midnight and closes the day before
+    assert rows(got.select("abrv", "datetime", "ws", "wd", "pm10"), "datetime") == [
+        ("NB", t("2017-11-05 01:00:00"), 5.144, None, 1.0), ("NB", t("2017-11-05 02:00:00"), None, 90.0, 3.0)]
