@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airmon.llm import simhash
+from airmon.llm import decontam, langid, simhash
 from airmon.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op9_benchmark_decontamination"] = r"""
+WITH
+words AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+    UNION ALL
+    SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') FROM benchmark),
+grams AS (
+    SELECT kind, id, unnest(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+    FROM words WHERE len(w) > 0),
+sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n AS item_shingles, count(*) AS shared, count(*) / n AS containment
+FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN sizes s ON s.id = i.id
+GROUP BY d.id, i.id, n
+HAVING count(*) >= 0.8 * n - 1e-9
+"""

@@ -14,6 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,12 +58,12 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) of every row: SimHash of four-word shingles, repeats included; no words give 0."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = [majority(shingle_hashes(words_of(t), 4)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array(fp, np.uint64).astype(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([majority(shingle_hashes(words_of(t), 4)) for t in b.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def planes_of(sig: np.ndarray) -> np.ndarray:
@@ -259,17 +260,17 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     same words are copies; so are all texts without words.  Rows with a null doc_id lose to any other of
     their group; of repeated rows one stays.  All columns are kept, whatever their names.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [wide_signature(t) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "row": pdf["row"], "node": np.array([x[0] for x in out], np.uint64).astype(np.int64),
-                "sig": [x[1] for x in out], "keys": [x[2] for x in out],
-            })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [wide_signature(t) for t in b.column("text").to_pylist()]
+            node = np.array([x[0] for x in out], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("row"), pa.array(node), pa.array([x[1] for x in out], pa.binary()),
+                 pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "row", "node", "sig", "keys"])
 
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
     packed = packed.withColumn("doc_id", F.col("r.doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "r.text"))
-    signed = written(packed.select("doc_id", "row", "r.text").mapInPandas(
+    signed = written(packed.select("doc_id", "row", "r.text").mapInArrow(
         run, "doc_id long, row long, node long, sig binary, keys array<long>"), "signatures")
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("m"))
     first = first.select("node", "m", F.col("m.row").alias("row"))
