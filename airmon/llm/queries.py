@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from airmon.llm import decontam, langid, simhash
+from airmon.llm import decontam, langid, mixing, pii, simhash
 from airmon.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,16 @@ FROM grams d JOIN grams i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i' JOIN si
 GROUP BY d.id, i.id, n
 HAVING count(*) >= 0.8 * n - 1e-9
 """
+
+
+@query
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op7_source_mixing"] = mixing.ORACLE.replace("{docs}", "documents")
