@@ -48,7 +48,7 @@ CUES = (
 )
 AGAINST = "version|order|invoice|isbn|issn|chapter|page|section|total|sum|ref|token|secret|sha|hash"
 
-VOTES = 7
+VOTES = 6
 ROUNDS = 60
 
 
@@ -140,10 +140,10 @@ def votes(c: Column) -> Column:
     say = lambda cond: F.when(cond, "1").otherwise("0")
     v, d = c["value"], digits(c["value"])
     size = F.char_length(d)
-    # a wider match says nothing about the base pattern, so that labeler has no opinion then
-    pattern = F.when(c["base"], "1").otherwise("2")
-    check = by_kind(c, F.when(v.contains("@"), "1").otherwise("2"), pattern,
-                    F.when(size.between(13, 19), say(luhn(d))).otherwise("0"), say(size.between(10, 15)))
+    # by pattern: signs that only the real thing has; base membership itself is no vote, it would decide alone
+    check = by_kind(c, F.when(v.rlike(r"@|[\[({]at"), "1").otherwise("2"), say(c["base"] | v.contains(":")),
+                    F.when(size.between(13, 19), say(luhn(d))).otherwise("0"),
+                    F.when(~size.between(10, 15), "0").when(v.rlike(r"^\+|^\("), "1").otherwise("2"))
     gazetteer = by_kind(
         c, say(F.lower(v).rlike(rf"(?:\.|dot[\])\s]*)(?:{TOP_LEVEL})$")), say(~v.rlike(rf"^{RESERVED}")),
         say(d.rlike(rf"^(?:{ISSUERS})")), F.when(v.startswith("+"), say(d.rlike(rf"^(?:{CALLING})"))).otherwise("2"))
@@ -151,7 +151,7 @@ def votes(c: Column) -> Column:
     against = F.when(c["before"].rlike(rf"\b(?:{AGAINST})"), "0").otherwise("2")
     glued = F.substring(c["before"], -1, 1).rlike(r"[\p{L}\p{N}_\"'=]") | c["after"].rlike(r"[\p{L}\p{N}_\"']")
     shape = F.when((size > 3) & d.rlike(r"^([0-9])\1*$"), "0").otherwise("2")
-    return F.concat(pattern, check, gazetteer, F.coalesce(cue, F.lit("2")), against, F.when(glued, "0").otherwise("2"), shape)
+    return F.concat(check, gazetteer, F.coalesce(cue, F.lit("2")), against, F.when(glued, "0").otherwise("2"), shape)
 
 
 def features(c: Column) -> Column:
@@ -169,7 +169,7 @@ class Classifier:
     """Log-odds of each feature value, by kind, and the labelers' estimated reliabilities."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    reliability: dict[tuple[int, int], tuple[float, float]] = field(default_factory=dict)
+    reliability: dict[tuple[int, int], list[dict[str, float]]] = field(default_factory=dict)
 
     def accepts(self, c: Column) -> Column:
         if not self.weights:
@@ -180,30 +180,23 @@ class Classifier:
         return F.aggregate(named, score(F.concat_ws(":", c["kind"], F.lit("prior"))), lambda s, k: s + score(k)) > 0
 
 
-def expectation_maximisation(counts: dict[str, int], votes_of: int = VOTES) -> tuple[dict[str, float], list[tuple[float, float]]]:
-    """Posterior of each vote pattern, and for each labeler the share of its votes that is right on either class.
+def expectation_maximisation(counts: dict[str, int], labelers: int = VOTES) -> tuple[dict[str, float], list[list[dict[str, float]]]]:
+    """Posterior of each vote pattern, and for each labeler the chances of its votes under class 0 and class 1.
 
-    The two-class model in which labelers err independently; abstentions say nothing.
+    The two-class model in which labelers err independently.  No opinion is a vote like the others: a labeler
+    that only ever speaks against a candidate says something by its silence too.
     """
     post = {p: (1 + p.count("1")) / (2 + p.count("1") + p.count("0")) for p in counts}
-    rel = [(0.5, 0.5)] * votes_of
+    chance: list[list[dict[str, float]]] = []
     for _ in range(ROUNDS):
-        total = sum(counts.values())
-        prior = (1 + sum(n * post[p] for p, n in counts.items())) / (2 + total)
-        rel = []
-        for k in range(votes_of):
-            # one right vote in ten less than given keeps every estimate inside (0, 1) and labelers better than chance at first
-            yes = sum(n * post[p] for p, n in counts.items() if p[k] == "1"), sum(n * post[p] for p, n in counts.items() if p[k] != "2")
-            no = sum(n * (1 - post[p]) for p, n in counts.items() if p[k] == "0"), sum(n * (1 - post[p]) for p, n in counts.items() if p[k] != "2")
-            rel.append(((yes[0] + 4) / (yes[1] + 5), (no[0] + 4) / (no[1] + 5)))
+        weight = [sum(n * (1 - post[p]) for p, n in counts.items()), sum(n * post[p] for p, n in counts.items())]
+        chance = [[{v: (1 + sum(n * abs(1 - y - post[p]) for p, n in counts.items() if p[k] == v)) / (3 + weight[y]) for v in "012"}
+                   for y in (0, 1)] for k in range(labelers)]
         for p in counts:
-            odds = math.log(prior / (1 - prior))
-            for k, v in enumerate(p):
-                if v != "2":
-                    a, b = rel[k]
-                    odds += math.log(a / (1 - b)) if v == "1" else math.log((1 - a) / b)
+            odds = math.log((1 + weight[1]) / (1 + weight[0]))
+            odds += sum(math.log(chance[k][1][v] / chance[k][0][v]) for k, v in enumerate(p))
             post[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return post, rel
+    return post, chance
 
 
 def learn(docs: DataFrame) -> Classifier:
@@ -225,8 +218,8 @@ def learn(docs: DataFrame) -> Classifier:
         for v, i, _, n in mine:
             if i == 0:
                 counts[v] = counts.get(v, 0) + n
-        post, rel = expectation_maximisation(counts)
-        out.reliability |= {(kind, k): r for k, r in enumerate(rel)}
+        post, chance = expectation_maximisation(counts)
+        out.reliability |= {(kind, k): c for k, c in enumerate(chance)}
         yes, no = (sum(n * w for n, w in ((counts[p], abs(bad - post[p])) for p in counts)) for bad in (0, 1))
         out.weights[f"{kind}:prior"] = math.log((yes + 1) / (no + 1))
         soft: dict[tuple[int, str], list[float]] = {}

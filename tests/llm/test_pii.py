@@ -91,8 +91,9 @@ def test_em_finds_the_reliable_labelers():
         y = rng.random() < 0.4
         v = "".join("2" if rng.random() < 0.2 else str(int(y == (rng.random() < r))) for r in (0.95, 0.9, 0.85, 0.6))
         counts[v] = counts.get(v, 0) + 1
-    post, rel = pii.expectation_maximisation(counts, 4)
-    assert abs(rel[0][0] - 0.95) < 0.03 and abs(rel[3][0] - 0.6) < 0.05 and post["1111"] > 0.95 and post["0000"] < 0.05
+    post, chance = pii.expectation_maximisation(counts, 4)
+    right = [c[1]["1"] / (1 - c[1]["2"]) for c in chance]
+    assert abs(right[0] - 0.95) < 0.03 and abs(right[3] - 0.6) < 0.05 and post["1111"] > 0.95 and post["0000"] < 0.05
 
 
 def test_redaction(spark):
