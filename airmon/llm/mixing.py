@@ -83,7 +83,7 @@ def slot_table(plan: DataFrame) -> DataFrame:
     runs = plan.where("slots > 0").select("rank", "blocks", "slots", F.explode(
         F.expr(f"sequence(0L, (slots - 1) div {RUN})")).alias("run"))
     # runs of a large source are dealt over the tasks before they are unrolled
-    runs = runs.repartition("rank", "run")
+    runs = runs.repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rank", "run")
     slots = runs.select("rank", "blocks", F.explode(
         F.expr(f"sequence(run * {RUN}, least(slots, (run + 1) * {RUN}) - 1)")).alias("slot"))
     shards = plan.agg(F.greatest(F.lit(1), F.ceil(F.sum("slots") / SHARD)).alias("shards"))
@@ -118,7 +118,8 @@ def mix(docs: DataFrame) -> DataFrame:
     sizes = written(sized(docs), "sizes")
     plan = written(targets(sizes), "targets")
     rows = written(placed(sizes, plan), "placed")
-    draws = slot_table(plan).groupBy("rank", "block").agg(F.count("*").alias("times"))
+    # written, so that the join knows its size: the plan's few rows unroll into one for every block
+    draws = written(slot_table(plan).groupBy("rank", "block").agg(F.count("*").alias("times")), "draws")
     pieces = rows.where("size > 0").select("*", F.explode(
         F.expr(f"sequence(start div {BLOCK}, (start + size - 1) div {BLOCK})")).alias("block"))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
