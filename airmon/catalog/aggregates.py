@@ -101,7 +101,8 @@ def missing_hours(p: Proxy):
 @query(HOURLY_FLUX)
 def hourly_flux_sum(p: Proxy):
     rate = val.sand_flux_rate("sumpc", "sumpc_total", "dwp_mass", "district_mass")
-    return agg.hourly_flux_sum(rec.flux_interval_join(p.sensor, p.periods).select("datetime", rate.alias("sand_flux")))
+    hours = agg.hourly_flux_sum(rec.flux_interval_join(p.sensor, p.periods).select("datetime", rate.alias("sand_flux")))
+    return hours.withColumn("sand_flux", val.steady("sand_flux"))
 
 
 @query("SELECT date, count(*) AS no_sites_exceeding FROM p_daily WHERE pm10_avg >= 150 GROUP BY 1")

@@ -97,7 +97,8 @@ def join_on_date_hour(p: Proxy):
     met = p.met_table.join(p.deployments.filter(F.col("deployment") == "Keeler"), "deployment_id").select(
         tc.hour_ending_date("datetime").alias("date"), tc.hour_ending_hour("datetime").alias("hour"),
         F.col("ws_10m").alias("ws"), F.col("wd_10m").alias("wd"))
-    return rec.join_on_date_hour(agg.hourly_flux_sum(flux), met)
+    hourly = agg.hourly_flux_sum(flux).withColumn("sand_flux", val.steady("sand_flux"))
+    return rec.join_on_date_hour(hourly, met)
 
 
 @query("""SELECT date, abrv, onlake, offlake, CASE WHEN hrs_onlake + hrs_offlake > 0 THEN hrs_onlake END AS hrs_onlake,

@@ -82,7 +82,8 @@ FROM (SELECT date, abrv, count(*) AS n, count(onlake_wd) AS known, sum(pm10) FIL
 def shoreline_report(p: Proxy):
     """Site table of every exceedance day, from the two source tables on."""
     hours = shoreline.report_hours(
-        tables.read_validated(p.validated_table, *JANUARY), tables.read_preliminary(p.preliminary_table, *JANUARY))
+        tables.read_validated(p.validated_table, *JANUARY, order=["event_id"]),
+        tables.read_preliminary(p.preliminary_table, *JANUARY, order=["event_id"]))
     return shoreline.report_tables(hours, p.site)["site_table"]
 
 

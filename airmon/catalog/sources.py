@@ -24,12 +24,12 @@ WHERE {valid} AND date BETWEEN DATE '{START}' AND DATE '{END}'"""
 
 @query(_one_source("NOT valid"))
 def read_preliminary(p: Proxy):
-    return tables.read_preliminary(p.preliminary_table, START, END)
+    return tables.read_preliminary(p.preliminary_table, START, END, order=["event_id"])
 
 
 @query(_one_source("valid"))
 def read_validated(p: Proxy):
-    return tables.read_validated(p.validated_table, START, END)
+    return tables.read_validated(p.validated_table, START, END, order=["event_id"])
 
 
 AGENCY_COLS = ("site_num", "date_utc", "hour_utc", "code", "desc", "value", "units")
@@ -56,6 +56,7 @@ def _bulk(p: Proxy):
         "State Code": F.lit("06"),
         "County Code": F.when(F.col("event_type") == "view", "029").otherwise("027"),
         "Site Num": F.col("site_num"),
+        "POC": (F.col("event_id") % 3 + 1).cast("string"),
         "Parameter Code": F.col("code").cast("string"),
         "Parameter Name": F.col("desc"),
         "Date GMT": F.col("date_utc").cast("string"),
@@ -67,7 +68,7 @@ def _bulk(p: Proxy):
     return p.land(p.measurement.select(*cols), "csv", "bulk", header=True)
 
 
-@query("""SELECT site_num, date_utc, hour_utc, code, "desc", value, units FROM p_measurement
+@query("""SELECT site_num, date_utc, hour_utc, code, "desc", value, units, CAST(event_id % 3 + 1 AS INTEGER) AS poc FROM p_measurement
 WHERE event_type <> 'view' AND site_num IN ('1001', '0021', '0022', '0025', '0026')""")
 def stack_aqs_bulk(p: Proxy):
     return files.stack_aqs_hourly(p.spark, _bulk(p))
@@ -194,7 +195,7 @@ def write_daily_wide_csv(p: Proxy):
     hours = p.hours.join(p.site.select("abrv", "deployment"), "abrv")
     sinks.write_daily_wide_csv(hours, path, days=DAYS)
     columns = ", ".join(f"`{s}` double" for s in dims.EXPORT_SITES)
-    return p.spark.read.schema(f"datetime timestamp_ntz, {columns}, date date").csv(path, header=True)
+    return p.spark.read.schema(f"datetime timestamp_ntz, {columns}, date date").csv(f"{path}/pm10", header=True)
 
 
 @query("SELECT abrv, datetime, ws, wd, pm10 FROM p_hours")
@@ -205,7 +206,8 @@ def write_sorted_csv(p: Proxy):
     return p.spark.read.schema(schema).csv(path, header=True)
 
 
-@query("""SELECT site_num, date_utc, hour_utc, code, "desc", value, units, CAST(year(date_utc) AS INTEGER) AS year
+@query("""SELECT site_num, date_utc, hour_utc, code, "desc", value, units, CAST(event_id % 3 + 1 AS INTEGER) AS poc,
+ CAST(year(date_utc) AS INTEGER) AS year
 FROM p_measurement WHERE event_type <> 'view' AND site_num IN ('1001', '0021', '0022', '0025', '0026')""")
 def write_stacked_aqs(p: Proxy):
     path = scratch_path(p.spark, "stacked")

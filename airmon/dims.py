@@ -1,7 +1,8 @@
 """Fixed reference values and the small dimension tables built from them.
 
 The tables are made from Arrow, so Spark holds them as local relations of known size and its own
-``autoBroadcastJoinThreshold`` check decides on broadcasting; no join in the library is hinted.
+``autoBroadcastJoinThreshold`` check decides on broadcasting; the only hinted joins are those with a table
+of one row per calendar day or year.
 """
 
 from __future__ import annotations

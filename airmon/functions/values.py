@@ -111,7 +111,3 @@ def sand_flux_rate(sumpc, sumpc_total, dwp_mass, district_mass) -> Column:
     mass = F.coalesce(col(dwp_mass), col(district_mass))
     rate = F.try_divide(col(sumpc), col(sumpc_total)) * (mass / COLLECTOR_DIVISOR)
     return F.when(col(sumpc_total) > 0, rate).otherwise(0.0)
-
-
-def resultant_or_scalar(resultant: Column | str, scalar: Column | str) -> Column:
-    return F.coalesce(col(resultant), col(scalar))

@@ -149,7 +149,7 @@ def missing_hours(df: DataFrame, site: str = "abrv", dt: str = "datetime") -> Da
 def hourly_flux_sum(df: DataFrame, by: Sequence[str] = (), dt: str = "datetime") -> DataFrame:
     """Sums per hour-ending date and hour.  Hours are grouped as windows, named after the aggregate."""
     hour = F.window(dt, "1 hour", "1 hour", "1 second").alias("_hour")
-    sums = df.groupBy(*by, hour).agg(steady(F.sum("sand_flux")).alias("sand_flux"))
+    sums = df.groupBy(*by, hour).agg(F.sum("sand_flux").alias("sand_flux"))
     start = F.col("_hour.start")
     return sums.select(*by, start.cast("date").alias("date"), F.hour(start).alias("hour"), "sand_flux")
 

@@ -15,25 +15,44 @@ INSTANT = "INTERVAL '0.000001' SECOND"
 
 
 def within(t: Column, start: Column, end: Column) -> Column:
-    return (t > start) & (t <= end)
+    """Inside (start, end]; an interval without an end is still open."""
+    return (t > start) & (end.isNull() | (t <= end))
 
 
 def bucket_intervals(
-    df: DataFrame, start: str, end: str, hours: int = 24, bucket: str = "_bucket", clip: bool = False
+    df: DataFrame, start: str, end: str, hours: int = 24, bucket: str = "_bucket", clip: bool = False,
+    extent: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """One row per bucket an interval touches, optionally cut at the bucket's edges.
 
-    Bucket ids are those of ``with_bucket``: the first instant after the bucket's left edge.
+    Bucket ids are those of ``with_bucket``: the first instant after the bucket's left edge.  ``extent`` is
+    the first and last stamp that will be looked up: buckets outside are not made, and an interval with
+    a NULL end, which is still open, lasts until the last stamp.
     """
     step, instant = F.expr(f"INTERVAL '{hours}' HOUR"), F.expr(INSTANT)
-    real = df.filter(F.col(start) < F.col(end)).withColumn("_from", F.col(start) + instant)
-    ends = with_bucket(with_bucket(real, "_from", hours, "_first"), end, hours, "_last")
+    real, until = df, F.col(end)
+    since = F.col(start) + instant
+    if extent is not None:
+        first, last = extent
+        since, until = F.greatest(since, first), F.coalesce(F.least(F.col(end), last), last)
+        # an open end is cut when asked to clip, else it stays NULL in the result
+        real = real.filter(F.col(end).isNull() | (F.col(start) < F.col(end)))
+    else:
+        real = real.filter(F.col(start) < F.col(end))
+    real = real.withColumn("_from", since).withColumn("_to", until).filter(F.col("_from") <= F.col("_to"))
+    ends = with_bucket(with_bucket(real, "_from", hours, "_first"), "_to", hours, "_last")
     out = ends.withColumn(bucket, F.explode(F.sequence("_first", "_last", step))).drop("_from", "_first", "_last")
     if clip:
         edge = F.col(bucket) - instant
         out = out.withColumn(start, F.greatest(F.col(start), edge)).withColumn(
-            end, F.least(F.col(end), edge + step))
-    return out
+            end, F.least(F.coalesce(F.col(end), F.col("_to")), edge + step))
+    return out.drop("_to")
+
+
+def extent_of(df: DataFrame, dt: str) -> tuple[Column, Column]:
+    """First and last stamp of a table, as literals; NULL without any."""
+    lo, hi = df.agg(F.min(dt), F.max(dt)).first()
+    return tuple(F.lit(x).cast("timestamp_ntz") for x in (lo, hi))
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from airmon.dims import LOCAL_ZONE, PM10_FLOOR, SENTINEL
 from airmon.functions import timecol as tc
 from airmon.operators.calendar import with_bucket
-from airmon.operators.intervals import bucket_intervals, merge_intervals, within
+from airmon.operators.intervals import bucket_intervals, extent_of, merge_intervals, within
 from airmon.sources.snapshot import settle
 
 
@@ -47,7 +47,8 @@ def sentinel_to_null(df: DataFrame, sentinel: float = SENTINEL) -> DataFrame:
 
 
 def qc_bounds(df: DataFrame, floor: float = PM10_FLOOR, value: str = "pm10", dt: str = "datetime") -> DataFrame:
-    return df.filter(F.col(dt).isNotNull() & (F.col(value) > floor))
+    """Readings with a time and a value above the floor.  NaN, which compares above every number, is no value."""
+    return df.filter(F.col(dt).isNotNull() & (F.col(value) > floor) & ~F.isnan(F.col(value).cast("double")))
 
 
 def _rank(order: Sequence[str]) -> Column:
@@ -173,15 +174,19 @@ def flag_lookup(
 
     ``flags`` is (deployment_id, field_id, start_datetime, end_datetime).  Intervals are cut at bucket
     edges and merged, so a reading meets at most one and the join can neither multiply rows nor pair
-    a hot deployment's readings with all of its flags.  Buckets no longer than the usual flag keep the
+    a hot deployment's readings with all of its flags.  A flag without an end is still open; only buckets
+    between the first and last reading are made, however long a flag lasts.  Readings without a time
+    match nothing and are kept apart from the join.  Buckets no longer than the usual flag keep the
     merged table smallest.  It is settled, so readings are shuffled only if it is too large to broadcast.
     """
     lo, hi = "start_datetime", "end_datetime"
     keys = [id_col, "field_id", "_bucket"]
     wanted = flags.filter(F.col("field_id").isin(list(fields.values()))).select(
         F.col("deployment_id").alias(id_col), "field_id", F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
-    merged = settle(merge_intervals(bucket_intervals(wanted, "_lo", "_hi", bucket_hours, clip=True), keys, "_lo", "_hi"))
-    out = with_bucket(df, dt, bucket_hours)
+    cut = bucket_intervals(wanted, "_lo", "_hi", bucket_hours, clip=True, extent=extent_of(df, dt))
+    merged = settle(merge_intervals(cut, keys, "_lo", "_hi"))
+    timeless = df.filter(F.col(dt).isNull()).withColumns({name: F.lit(False) for name in fields})
+    out = with_bucket(df.filter(F.col(dt).isNotNull()), dt, bucket_hours)
     for name, field in fields.items():
         hit = out.alias("r").join(
             merged.filter(F.col("field_id") == field).alias("f"),
@@ -191,4 +196,4 @@ def flag_lookup(
             "left",
         )
         out = hit.select("r.*", F.col("f._lo").isNotNull().alias(name))
-    return out.drop("_bucket")
+    return out.drop("_bucket").unionByName(timeless)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from airmon.dims import GAP_FILL_PAIRS, REFERENCE_TARGETS
 from airmon.functions import timecol as tc
 from airmon.operators.calendar import with_bucket, with_hour_ending_date
-from airmon.operators.intervals import bucket_intervals, within
+from airmon.operators.intervals import bucket_intervals, extent_of, within
 from airmon.sources.snapshot import settle
 
 OBS_VALUES = ("date", "ws", "wd", "pm10", "onlake_wd", "valid")
@@ -131,8 +131,13 @@ def gap_fill_from_neighbour(df: DataFrame, pairs: Sequence[tuple[str, str]] = GA
 def gap_fill_from_reference(
     df: DataFrame, reference: DataFrame, targets: Sequence[str] = REFERENCE_TARGETS
 ) -> DataFrame:
-    """``ws`` and ``wd`` of the target sites are filled, each on its own, from a station (datetime, ws, wd)."""
-    copies = reference.select(
+    """``ws`` and ``wd`` of the target sites are filled, each on its own, from a station (datetime, ws, wd).
+
+    A station's hour that occurs twice counts once, with its smallest values, so no target row is repeated.
+    """
+    hours = reference.filter(F.col("datetime").isNotNull()).groupBy("datetime").agg(
+        F.min(F.struct("ws", "wd")).alias("_w")).select("datetime", "_w.*")
+    copies = hours.select(
         F.explode(F.array(*[F.lit(t) for t in targets])).alias("abrv"),
         "datetime", F.col("ws").alias("_ws"), F.col("wd").alias("_wd"))
     return (
@@ -223,7 +228,8 @@ def flux_interval_join(counts: DataFrame, periods: DataFrame, bucket_hours: int
     counts are shuffled only if it is too large to broadcast.
     """
     usable = periods.filter(F.coalesce("dwp_mass", "district_mass").isNotNull())
-    spread = settle(bucket_intervals(usable, "start_datetime", "collection_datetime", bucket_hours))
+    spread = settle(bucket_intervals(
+        usable, "start_datetime", "collection_datetime", bucket_hours, extent=extent_of(counts, "datetime")))
     c = with_bucket(counts, "datetime", bucket_hours).alias("c")
     p = spread.alias("p")
     return c.join(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dtm
+
 from pyspark.sql import DataFrame, functions as F
 
-from airmon.dims import DUST_BREAKS_LOW
+from airmon.dims import AGENCY_SITES, DUST_BREAKS_LOW
+from airmon.functions import timecol as tc
 from airmon.functions.values import flag_color, knots_to_mps
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
 from airmon.sources.files import agency_long
@@ -15,11 +18,19 @@ WIND_PM = ("datetime", "abrv", "date", "ws", "wd", "pm10")
 def agency_hours(stacked: DataFrame, start, end) -> DataFrame:
     """Stacked rows to hours with wind in m/s, one row per site-hour.
 
-    The fall-back hour exists twice in UTC; the lower UTC stamp wins.
+    The fall-back hour exists twice in UTC; the whole row of the lower UTC stamp wins.  Of several
+    instruments at a site the lowest POC gives the value, where the table has that column; then the
+    lower value.  UTC dates, stored sites and the year of a table partitioned by it limit what is scanned.
     """
-    local = qc.filter_period(agency_long(stacked), start, end)
-    wide = reshape.pivot_parameters(local, ["abrv", "datetime", "date"], "datetime_utc")
-    return reshape.resultant_over_scalar(wide).withColumn("ws", knots_to_mps("ws")).select(*WIND_PM)
+    low, high = tc.as_date(start) - dtm.timedelta(days=1), tc.as_date(end) + dtm.timedelta(days=2)
+    rows = stacked.filter(F.col("date_utc").between(F.lit(low), F.lit(high)) & F.col("site_num").isin(list(AGENCY_SITES.values())))
+    if "year" in stacked.columns:
+        rows = rows.filter(F.col("year").between(low.year, high.year))
+    rows = rows.withColumn("_pick", F.struct(F.col("poc") if "poc" in stacked.columns else F.lit(0), "value"))
+    local = qc.filter_period(agency_long(rows), start, end)
+    instants = reshape.pivot_parameters(local, ["abrv", "datetime", "date", "datetime_utc"], "_pick")
+    hours = qc.first_by(reshape.resultant_over_scalar(instants), ["abrv", "datetime"], ["datetime_utc"])
+    return hours.withColumn("ws", knots_to_mps("ws")).select(*WIND_PM)
 
 
 def spliced_hours(agency: DataFrame, preliminary: DataFrame, teom: DataFrame, sectors: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from airmon.dims import FLUX_BREAKS
 from airmon.functions import timecol as tc
@@ -26,9 +26,13 @@ def sand_flux(counts: DataFrame, periods: DataFrame, deployments: DataFrame, fla
 
 
 def hourly_flux_with_wind(flux: DataFrame, met: DataFrame) -> DataFrame:
-    """Hourly sums per collector with the wind of one met station, joined on (date, hour)."""
+    """Hourly sums per collector with the wind of one met station, joined on (date, hour).
+
+    A met hour that occurs twice counts once, with its smallest values; clock times that do not exist go.
+    """
     hourly = agg.hourly_flux_sum(flux, by=["csc"])
-    wind = met.select(
+    hours = qc.drop_nonexistent_local(met.groupBy("datetime").agg(F.min(F.struct("ws", "wd")).alias("_w")))
+    wind = hours.select("datetime", "_w.*").select(
         tc.hour_ending_date("datetime").alias("date"), tc.hour_ending_hour("datetime").alias("hour"), "ws", "wd")
     return rec.join_on_date_hour(hourly, wind)
 

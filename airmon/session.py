@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,16 +34,21 @@ def build_session(
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path below this application's scratch folder."""
+    return f"{scratch_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
-    Only a local session may fall back to a machine-local folder; on a cluster executors could not
-    see one, so an unset folder is an error there.
+
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application keeps what it writes for itself, in the shared folder of ``spark.checkpoint.dir``.
+
+    Where that is unset it is kept in the warehouse, which a cluster shares as well; behaviour
+    does not depend on the kind of master.
     """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="airmon-"))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/airmon-{uuid.uuid4().hex}/{name}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{base.rstrip('/')}/airmon-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all settled tables of this application; results read from them are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

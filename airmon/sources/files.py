@@ -8,16 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from airmon import schemas
 from airmon.dims import AGENCY_SITES, LOCAL_ZONE
 from airmon.functions import timecol as tc
 from airmon.functions.values import site_code
-from airmon.operators.quality import method_filter
+from airmon.operators.quality import method_filter, nan_to_null
 from airmon.operators.reshape import normalise_names
 
 
+def number(text: str) -> Column:
+    """A number from text; NULL for what is none, such as ``NA`` or ``NaN``."""
+    value = F.col(text).try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def read_aqs_hourly(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.AGENCY_HOURLY).csv(path, header=True)
 
@@ -40,15 +46,19 @@ def stack_aqs_hourly(
     spark: SparkSession, path: str | list[str], state: str = STATE, county: str = COUNTY,
     sites: Sequence[str] = BULK_SITES,
 ) -> DataFrame:
-    """Many national hourly files, filtered, projected and stacked in one scan."""
+    """Many national hourly files, filtered, projected and stacked in one scan.
+
+    Five sites of one county by default.  ``poc`` tells instruments at one site apart.
+    """
     return _bulk(spark, path, schemas.BULK_HOURLY, state, county, sites).select(
         F.col("`Site Num`").alias("site_num"),
-        F.col("`Date GMT`").cast("date").alias("date_utc"),
+        F.col("`Date GMT`").try_cast("date").alias("date_utc"),
         F.col("`Time GMT`").alias("hour_utc"),
-        F.col("`Parameter Code`").cast("int").alias("code"),
+        F.col("`Parameter Code`").try_cast("int").alias("code"),
         F.col("`Parameter Name`").alias("desc"),
-        F.col("`Sample Measurement`").cast("double").alias("value"),
+        number("`Sample Measurement`").alias("value"),
         F.col("`Units of Measure`").alias("units"),
+        F.col("POC").try_cast("int").alias("poc"),
     )
 
 
@@ -58,10 +68,10 @@ def stack_aqs_daily(
 ) -> DataFrame:
     return _bulk(spark, path, schemas.BULK_DAILY, state, county, sites).select(
         F.col("`Site Num`").alias("site_num"),
-        F.col("`Date Local`").cast("date").alias("date"),
-        F.col("`Parameter Code`").cast("int").alias("code"),
+        F.col("`Date Local`").try_cast("date").alias("date"),
+        F.col("`Parameter Code`").try_cast("int").alias("code"),
         F.col("`Parameter Name`").alias("desc"),
-        F.col("`Arithmetic Mean`").cast("double").alias("value"),
+        number("`Arithmetic Mean`").alias("value"),
         F.col("`Units of Measure`").alias("units"),
     )
 
@@ -73,7 +83,7 @@ def read_aqs_json(spark: SparkSession, path: str | list[str], sites: Sequence[st
     keeps large files splittable.  An empty response holds only the end marker, which is dropped.
     """
     raw = spark.read.schema(schemas.API_JSON).json(path, multiLine=multi_line)
-    rows = normalise_names(raw.filter(F.col(f"`{raw.columns[0]}`") != schemas.END_OF_FILE))
+    rows = normalise_names(raw.filter(~F.col(f"`{raw.columns[0]}`").eqNullSafe(schemas.END_OF_FILE)))
     if sites is not None:
         rows = rows.filter(F.col("site_num").isin(list(sites)))
     utc = tc.local_from_parts("date_gmt", "24_hour_gmt")
@@ -83,23 +93,21 @@ def read_aqs_json(spark: SparkSession, path: str | list[str], sites: Sequence[st
 def read_aqs_api_csv(
     spark: SparkSession, path: str | list[str], sites: dict[str, str] = AGENCY_SITES, pattern: str = "TEOM",
 ) -> DataFrame:
-    """Landed yearly CSV responses: TEOM methods of known sites, in local time, sorted."""
+    """Landed yearly CSV responses: TEOM methods of known sites, in local time."""
     rows = normalise_names(spark.read.schema(schemas.API_CSV).csv(path, header=True))
-    number = F.lpad("site_num", 4, "0")
     return (
         method_filter(rows, pattern)
-        .withColumn("site_num", number)
+        .withColumn("site_num", F.lpad("site_num", 4, "0"))
         .filter(F.col("site_num").isin(list(sites.values())))
         .select(
             site_code("site_num", sites).alias("abrv"),
             "site_num",
-            F.col("sample_measurement").cast("double").alias("pm10"),
+            number("sample_measurement").alias("pm10"),
             "sample_duration",
             tc.local_from_parts("date_local", "x24_hour_local").alias("datetime"),
         )
         .withColumn("date", tc.hour_ending_date("datetime"))
         .withColumn("year", F.year("date"))
-        .orderBy("site_num", "datetime")
     )
 
 
@@ -117,15 +125,19 @@ def agency_long(hourly: DataFrame, zone: str = LOCAL_ZONE) -> DataFrame:
 def read_wide_workbook(spark: SparkSession, path: str, columns: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
     """A wide sheet exported as CSV: serial date, hour code, then one column per site or variable.
 
-    ``columns`` names the file's columns in order.  Preamble and heading lines have no number in the
-    date column, which tells them from data wherever a file split begins.
+    ``columns`` names the file's columns in order.  Preamble and heading lines have neither a number nor a date
+    in the date column, which tells them from data wherever a file split begins.  A serial may be exported
+    as ``41000``, ``41000.0`` or a date; other cells that hold no number are NULL.
     """
     raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path, header=False)
     kept = list(keep) if keep else list(columns)
     ids = [c for c in ("date", "hour") if c in kept]
-    return raw.filter(F.col("date").try_cast("int").isNotNull()).select(
-        *[F.col(c).cast("int") for c in ids],
-        *[F.col(c).cast("double") for c in kept if c not in ids],
+    # fixed value: day 0 of the serial calendar
+    serial = F.coalesce(F.floor(number("date")), F.date_diff(F.col("date").try_cast("date"), F.lit("1899-12-30").cast("date")))
+    whole = {"date": serial, "hour": F.floor(number("hour")) if "hour" in columns else F.lit(None)}
+    return raw.filter(serial.isNotNull()).select(
+        *[whole[c].cast("int").alias(c) for c in ids],
+        *[number(c).alias(c) for c in kept if c not in ids],
     )
 
 
@@ -135,8 +147,8 @@ def read_hour_code_csv(spark: SparkSession, path: str) -> DataFrame:
     # fixed values: the two date formats
     day = F.coalesce(
         F.try_to_timestamp("date", F.lit("M/d/yyyy")), F.try_to_timestamp("date", F.lit("M/d/yy"))).cast("date")
-    return raw.select(
-        tc.hour_code_to_datetime(day, "hour").alias("datetime"), "ws_10m", "wd_10m")
+    return nan_to_null(raw.select(
+        tc.hour_code_to_datetime(day, "hour").alias("datetime"), "ws_10m", "wd_10m"))
 
 
 def read_flux_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -144,4 +156,4 @@ def read_flux_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schemas.FLUX_5MIN).csv(path, header=True)
     # fixed value: time format of the export
     t = F.try_to_timestamp("datetime", F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    return raw.withColumn("datetime", t)
+    return nan_to_null(raw.withColumn("datetime", t))

@@ -1,7 +1,8 @@
 """Writers.
 
 Partitioned outputs are rebalanced on their partition columns first: each folder gets few files, and
-adaptive execution splits a folder that is too large for one task.
+adaptive execution splits a folder that is too large for one task.  A write replaces the folders that it
+has rows for and leaves all others as they are.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from pyspark.sql import DataFrame, functions as F
 from airmon.operators.reshape import pivot_sites
 
 
+REPLACE = ("partitionOverwriteMode", "dynamic")
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "parquet", **options: str) -> None:
-    df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).format(fmt).options(**options).save(path)
+    df.hint("rebalance", *by).write.mode("overwrite").option(*REPLACE).partitionBy(*by).format(fmt).options(**options).save(path)
 
 
 def write_daily_wide_csv(df: DataFrame, path: str, value: str = "pm10", days: Sequence | None = None, **pivot) -> None:
-    """One folder per day with the hours-by-sites table of a variable, in time order."""
+    """A folder per variable and day with the hours-by-sites table, in time order: ``path/value/date=...``."""
     wide = pivot_sites(df, value, days=days, **pivot)
     (
         wide.hint("rebalance", "date").sortWithinPartitions("date", "datetime")
-        .write.mode("overwrite").partitionBy("date").csv(path, header=True)
+        .write.mode("overwrite").option(*REPLACE).partitionBy("date").csv(f"{path}/{value}", header=True)
     )
 
 

@@ -22,10 +22,13 @@ def open_table(spark: SparkSession, location: str | None = None, fmt: str = "par
 
 
 def _hourly(
-    table: DataFrame, start, end, names: Mapping[str, str], sites: Iterable[str] | None,
+    table: DataFrame, start, end, names: Mapping[str, str], sites: Sequence[str] | None,
     columns: Mapping[str, Column], valid: bool, order: Sequence[str], zone: str,
 ) -> DataFrame:
-    wanted = [names[s] for s in sites if s in names] if sites is not None else list(names.values())
+    unknown = sorted(set(sites or ()) - set(names))
+    if unknown:
+        raise ValueError(f"unknown site codes {unknown}; known are {sorted(names)}")
+    wanted = [names[s] for s in sites] if sites is not None else list(names.values())
     # period and site tests are on stored columns, so both reach the scan
     rows = table.filter(tc.in_period("datetime", start, end) & F.col("site").isin(wanted))
     obs = rows.select(
@@ -38,10 +41,14 @@ def _hourly(
 
 
 def read_preliminary(
-    table: DataFrame, start, end, sites: Iterable[str] | None = None, order: Sequence[str] = ("event_id",),
+    table: DataFrame, start, end, sites: Sequence[str] | None = None, *, order: Sequence[str],
     names: Mapping[str, str] = PRELIMINARY_NAMES, zone: str = LOCAL_ZONE,
 ) -> DataFrame:
-    """Preliminary hours (datetime, site, aspd, dir, teom, from_lake) as observations, ``valid`` false."""
+    """Preliminary hours (datetime, site, aspd, dir, teom, from_lake) as observations, ``valid`` false.
+
+    ``order`` names the columns that choose among repeated rows of a site-hour.  Without ``sites`` all sites of
+    ``names`` are read, the nine named ones by default; other sites of the table are not.
+    """
     columns = {
         "ws": F.col("aspd"), "wd": F.col("dir"), "pm10": F.col("teom"), "onlake_wd": F.col("from_lake"),
     }
@@ -49,10 +56,10 @@ def read_preliminary(
 
 
 def read_validated(
-    table: DataFrame, start, end, sites: Iterable[str] | None = None, order: Sequence[str] = ("event_id",),
+    table: DataFrame, start, end, sites: Sequence[str] | None = None, *, order: Sequence[str],
     names: Mapping[str, str] = VALIDATED_NAMES, zone: str = LOCAL_ZONE,
 ) -> DataFrame:
-    """Validated hours (datetime, site, ws, wd, pm10, onlake_wd) as observations, ``valid`` true."""
+    """Validated hours (datetime, site, ws, wd, pm10, onlake_wd) as observations, ``valid`` true; as for ``read_preliminary``."""
     columns = {c: F.col(c) for c in ("ws", "wd", "pm10", "onlake_wd")}
     return _hourly(table, start, end, names, sites, columns, True, order, zone)
 
@@ -70,7 +77,7 @@ def read_met_hourly(
     """Met hours (ws_10m, wd_10m) with their deployment's name: a day, a range, or everything."""
     rows = met.filter(tc.in_period("datetime", start, end or start)) if start is not None else met
     cols = ("datetime", "deployment", F.col("ws_10m").alias("ws"), F.col("wd_10m").alias("wd"))
-    return _with_deployment(rows, deployments, sites).select(*cols)
+    return nan_to_null(_with_deployment(rows, deployments, sites).select(*cols))
 
 
 def read_analog_hourly(
@@ -79,7 +86,7 @@ def read_analog_hourly(
     """Wind recorded next to a TEOM (ws_wvc, wd_wvc) with its deployment's name."""
     rows = analog.filter(tc.in_hour_range("datetime", start, end or start)) if start is not None else analog
     cols = ("datetime", "deployment", F.col("ws_wvc").alias("ws"), F.col("wd_wvc").alias("wd"))
-    return _with_deployment(rows, deployments, sites).select(*cols)
+    return nan_to_null(_with_deployment(rows, deployments, sites).select(*cols))
 
 
 def read_teom_by_era(
@@ -96,8 +103,8 @@ def read_teom_by_era(
         rows = table.filter(tc.in_hour_range("datetime", start, end) & ~F.col("invalid"))
         if sites is not None:
             rows = rows.filter(F.col("deployment").isin(list(sites)))
-        return with_hour(rows, "datetime", "datetime").select(
-            "datetime", "deployment", F.col(value).alias("pm10"), F.lit(era).alias("era"))
+        return nan_to_null(with_hour(rows, "datetime", "datetime").select(
+            "datetime", "deployment", F.col(value).alias("pm10"), F.lit(era).alias("era")))
 
     parts = []
     if start <= change:

@@ -54,8 +54,8 @@ def test_bulk_stack(spark, tmp_path):
                      _bulk_line("32", "027", "0021", "1", schema, col), _bulk_line("06", "027", "0099", "1", schema, col)]
             (tmp_path / f"{name}_{year}.csv").write_text("\n".join(lines) + "\n")
     hourly = files.stack_aqs_hourly(spark, f"{tmp_path}/hourly_*.csv")
-    assert rows(hourly) == [("0021", d("2017-01-01"), "08:00", 81102, "PM10", 5.5, "ug")] * 2
-    assert hourly.schema == schemas.AGENCY_HOURLY
+    assert rows(hourly) == [("0021", d("2017-01-01"), "08:00", 81102, "PM10", 5.5, "ug", None)] * 2
+    assert hourly.drop("poc").schema == schemas.AGENCY_HOURLY
     daily = files.stack_aqs_daily(spark, f"{tmp_path}/daily_*.csv")
     assert rows(daily) == [("0021", d("2017-01-01"), 81102, "PM10", 5.5, "ug")] * 2
     out = f"{tmp_path}/stacked"
@@ -86,7 +86,7 @@ def test_reader_filters_reach_the_scan(spark, tmp_path):
         (5, t("2017-03-12 02:00:00"), "Keeler", 1.0, 10.0, 6.0, True), (6, t("2017-01-01 05:00:00"), "Keeler", 1.0, 10.0, float("nan"), True),
     ], "event_id long, datetime timestamp_ntz, site string, aspd double, dir double, teom double, from_lake boolean")
     raw.withColumn("unused", raw.dir).write.parquet(f"{tmp_path}/raw")
-    got = tables.read_preliminary(tables.open_table(spark, f"{tmp_path}/raw"), "2017-01-01", "2017-04-01", ["KE"])
+    got = tables.read_preliminary(tables.open_table(spark, f"{tmp_path}/raw"), "2017-01-01", "2017-04-01", ["KE"], order=["event_id"])
     assert rows(got.select("abrv", "datetime", "date", "pm10", "valid")) == [
         ("KE", t("2017-01-02 00:00:00"), d("2017-01-01"), 5.0, False)]
     text = plan(got)
@@ -119,8 +119,8 @@ def test_daily_wide_csv(spark, tmp_path):
                                "date date, datetime timestamp_ntz, deployment string, pm10 double")
     out = tmp_path / "daily"
     sinks.write_daily_wide_csv(df, str(out), days=["2017-01-01", "2017-01-03"])
-    assert sorted(x.name for x in out.glob("date=*")) == ["date=2017-01-01", "date=2017-01-03"]
-    part, = out.glob("date=2017-01-01/*.csv")
+    assert sorted(x.name for x in out.glob("pm10/date=*")) == ["date=2017-01-01", "date=2017-01-03"]
+    part, = out.glob("pm10/date=2017-01-01/*.csv")
     lines = part.read_text().splitlines()
     assert lines[0] == ",".join(["datetime", *EXPORT_SITES])
     assert [x[:19] for x in lines[1:]] == ["2017-01-01T01:00:00", "2017-01-02T00:00:00"]

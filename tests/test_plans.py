@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import oracle
 from airmon.catalog.proxy import Proxy
+from airmon.catalog.registry import QUERIES
 from airmon.operators import quality as qc
 from conftest import plan
 
@@ -14,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_and_no_cross_join(spark, name):
     text = plan(entry.queries()[name](spark, SF))
     for bad in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -51,7 +52,7 @@ def test_flagship_moves_only_combined_rows(spark):
 
 
 def test_windows_are_never_over_everything(spark):
-    for name, q in entry.queries().items():
+    for name, q in QUERIES.items():
         lines = plan(q(spark, SF)).splitlines()
         for i, line in enumerate(lines):
             if "Window [" in line:
