@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airmon import dims
 from airmon.catalog.aggregates import BACKFILL_SQL
+from airmon.catalog.filters import YEARS
 from airmon.catalog.joins import NEIGHBOUR_SQL
 from airmon.catalog.proxy import Proxy, conditional_means, exceeding_only, in_sector
 from airmon.catalog.registry import query
 from airmon.catalog.reshapes import met_sheet
 from airmon.catalog.sources import teom_sheet
+from airmon.functions import values as val
 from airmon.operators import aggregate as agg, exceedance as exc, quality as qc
-from airmon.plans import agency, flux, history, shoreline
+from airmon.plans import agency, flux, history, shoreline, teom, wind
 from airmon.session import scratch_path
 from airmon.sources import tables
 from airmon.sources.snapshot import snapshot
@@ -154,3 +157,72 @@ def workbook_exceedances(p: Proxy):
     hours = history.workbook_hours(teom_sheet(p), met_sheet(p), station)
     return history.attributed_days(hours, p.sectors).select(
         "date", "abrv", "pm10_24", "pm10_onlake", "pm10_offlake", "n", "class")
+
+
+WIND_SQL = """SELECT r.deployment, r.datetime, r.ws, r.wd,
+ CASE WHEN month(r.datetime - INTERVAL 1 SECOND) BETWEEN 7 AND 9 THEN 'summer' ELSE 'winter' END AS season,
+ CAST(year(r.datetime - INTERVAL 1 SECOND) AS INTEGER) AS year
+FROM p_record r LEFT JOIN (SELECT deployment, min(datetime) AS first FROM p_record GROUP BY 1) f ON f.deployment = r.deployment
+LEFT JOIN (VALUES ('LizardTl', 2), ('Keeler', 1), ('LonePine', 3), ('NorthBch', 9)) AS c(deployment, years) ON c.deployment = r.deployment
+WHERE (c.years IS NULL OR r.datetime <= f.first + c.years * INTERVAL 1 YEAR) AND r.ws > 0 AND r.wd IS NOT NULL"""
+
+
+def wind_rose_sql(by: str) -> str:
+    return f"""SELECT *, round(hours / sum(hours) OVER (PARTITION BY deployment, {by}), 6) AS share FROM (
+SELECT deployment, {by}, CAST(floor(((wd + 11.25) % 360) / 22.5) AS INTEGER) AS sector,
+ CAST(CASE WHEN ws < 3 THEN 0 WHEN ws < 6 THEN 1 WHEN ws < 9 THEN 2 WHEN ws < 12 THEN 3 ELSE 4 END AS INTEGER) AS class,
+ CASE WHEN ws < 3 THEN '<3' WHEN ws < 6 THEN '3-6' WHEN ws < 9 THEN '6-9' WHEN ws < 12 THEN '9-12' ELSE '>=12' END AS label,
+ count(*) AS hours FROM ({WIND_SQL}) GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def wind_hours(p: Proxy):
+    """The wind record as three networks, joined again."""
+    parts = [p.record.filter(F.col("row_id") % 3 == k) for k in range(3)]
+    return wind.network_hours(parts, dims.record_years_table(p.spark, YEARS))
+
+
+@query(wind_rose_sql("season"))
+def wind_network_rose(p: Proxy):
+    return wind.network_roses(wind_hours(p))
+
+
+@query(wind_rose_sql("year"))
+def wind_network_rose_by_year(p: Proxy):
+    return wind.network_roses(wind_hours(p), by="year")
+
+
+@query(f"""SELECT deployment, min(datetime) AS start, max(datetime) AS "end", count(*) AS data_count,
+ date_diff('hour', min(datetime), max(datetime)) - count(*) AS missing FROM ({WIND_SQL}) GROUP BY 1""")
+def wind_record_gaps(p: Proxy):
+    return wind.record_gaps(wind_hours(p))
+
+
+@query("""SELECT * FROM (WITH t AS (SELECT datetime, deployment, abrv, pm10, row_number() OVER (PARTITION BY deployment, datetime
+  ORDER BY datetime >= TIMESTAMP '2024-01-15 00:00:00', pm10) AS k FROM p_obs
+ WHERE event_type <> 'error' AND datetime BETWEEN TIMESTAMP '2024-01-05 01:00:00' AND TIMESTAMP '2024-01-26 00:00:00')
+SELECT t.datetime, t.abrv, CAST(t.datetime - INTERVAL 1 SECOND AS DATE) AS date, m.ws_10m AS ws, m.wd_10m AS wd, t.pm10
+FROM t LEFT JOIN p_met m ON m.deployment = t.deployment AND m.datetime = t.datetime WHERE k = 1 AND t.abrv IN ('KE', 'OL', 'DS'))""")
+def teom_hours(p: Proxy):
+    """TEOM hours of two eras with the wind beside them."""
+    rows = p.obs.select("datetime", "deployment", "pm10", (F.col("event_type") == "error").alias("invalid"))
+    change = F.lit("2024-01-15").cast("date").cast("timestamp_ntz")
+    old = rows.filter(F.col("datetime") < change).withColumnRenamed("pm10", "pm10_std_avg")
+    new = rows.filter(F.col("datetime") >= change).withColumnRenamed("pm10", "pm10_1hour_stp")
+    analog = p.met_table.withColumnsRenamed({"ws_10m": "ws_wvc", "wd_10m": "wd_wvc"})
+    names = {s: dims.DEPLOYMENTS[s] for s in ("KE", "OL", "DS")}
+    return teom.teom_hours(old, new, analog, p.deployments, "2024-01-05", "2024-01-25", "2024-01-15", names)
+
+
+@query("""SELECT * FROM (WITH mine AS (SELECT date, abrv, round_even(pm10_avg, 0) AS pm10_24 FROM p_daily WHERE abrv <> 'KE' OR date <= DATE '2024-01-20'),
+tail AS (SELECT date, abrv, max(pm10) AS pm10_24 FROM p_hours WHERE abrv = 'KE' GROUP BY 1, 2
+ HAVING date > (SELECT max(date) FROM mine WHERE abrv = 'KE')),
+every AS (SELECT * FROM mine UNION ALL SELECT * FROM tail)
+SELECT DISTINCT g.site_group, e.date FROM every e
+JOIN (VALUES ('near', 'KE'), ('near', 'OL'), ('far', 'DS'), ('far', 'OL')) AS g(site_group, abrv) ON g.abrv = e.abrv WHERE pm10_24 >= 150)""")
+def station_exceed_days(p: Proxy):
+    """Exceedance days by site group, one site's means continued by another source."""
+    daily = agg.daily_avg(p.demixed).select("date", "abrv", val.half_even("pm10_avg").alias("pm10_24"))
+    mine = daily.filter((F.col("abrv") != "KE") | (F.col("date") <= F.lit("2024-01-20").cast("date")))
+    other = p.hours.groupBy("date", "abrv").agg(F.max("pm10").alias("pm10_24"))
+    groups = dims.local_table(p.spark, {"site_group": ["near", "near", "far", "far"], "abrv": ["KE", "OL", "DS", "OL"]})
+    return agency.exceed_days(agency.daily_with_tail(mine, other, ("KE",)), groups)

@@ -6,7 +6,7 @@ import datetime as dtm
 
 from pyspark.sql import DataFrame, functions as F
 
-from airmon.dims import AGENCY_SITES, DUST_BREAKS_LOW
+from airmon.dims import AGENCY_SITES, DUST_BREAKS_LOW, STANDARD
 from airmon.functions import timecol as tc
 from airmon.functions.values import flag_color, knots_to_mps
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
@@ -56,3 +56,15 @@ def station_report(hours: DataFrame) -> dict[str, DataFrame]:
         "roses": direction.rose_table(
             hours.withColumn("year", F.year("date")), breaks=DUST_BREAKS_LOW, by=("abrv", "year")),
     }
+
+
+def daily_with_tail(daily: DataFrame, agency_daily: DataFrame, sites: tuple[str, ...]) -> DataFrame:
+    """Computed daily means, continued for ``sites`` by the agency's after their own last day."""
+    mine = daily.filter(F.col("abrv").isin(list(sites)))
+    tail = rec.after_last_of(agency_daily.filter(F.col("abrv").isin(list(sites))), mine, site="abrv")
+    return daily.unionByName(tail.select(*daily.columns))
+
+
+def exceed_days(daily: DataFrame, groups: DataFrame, value: str = "pm10_24", threshold: float = STANDARD) -> DataFrame:
+    """(site_group, date): days on which any site of a group reaches the threshold; ``groups`` is (site_group, abrv)."""
+    return daily.filter(F.col(value) >= threshold).join(groups, "abrv").select("site_group", "date").distinct()
