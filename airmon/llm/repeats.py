@@ -307,10 +307,11 @@ def packed(rows: DataFrame) -> DataFrame:
 
 def ranges(rows: DataFrame) -> DataFrame:
     """(k1, k2, first, last): starts of strings that also start elsewhere, for each different text."""
-    anchors = cut(rows).groupBy("h").agg(
-        F.sum("m").alias("n"), F.count("*").alias("contexts"), F.min("u").alias("u0"), F.max("u").alias("u1"))
-    anchors = written(anchors.where("n > 1").select(
-        "h", F.when(F.col("u0") == F.col("u1"), "whole").when(F.col("contexts") > HOT, "hot").otherwise("part").alias("kind")), "anchors")
+    # first by anchor and context, then by anchor: copies are combined before they meet
+    contexts = cut(rows).groupBy("h", "u").agg(F.sum("m").alias("n"))
+    anchors = contexts.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("contexts")).where("n > 1")
+    anchors = written(anchors.select("h", F.when(F.col("contexts") == 1, "whole").when(
+        F.col("contexts") > HOT, "hot").otherwise("part").alias("kind")), "anchors")
     met = written(cut(rows).join(anchors, "h").select("kind", "h", "u", "k1", "k2", "pos"), "segments")
     first, more = F.shiftright("pos", 20), F.shiftright("pos", 10).bitwiseAND(F.lit(1023))
     whole = met.where("kind = 'whole'").select("k1", "k2", first.alias("first"), (first + more).alias("last"))
