@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dtm
+
 from pyspark.sql import functions as F
 
 from airmon import dims
@@ -90,6 +92,29 @@ def shoreline_report(p: Proxy):
     return shoreline.report_tables(hours, p.site)["site_table"]
 
 
+@query("""SELECT date, CASE WHEN deployment = 'Olancha' THEN 'Olancha*' ELSE deployment END AS site,
+ round_even(round(coalesce(on_sum, 0) / n, 6), 0) AS onlake, round_even(round(coalesce(off_sum, 0) / n, 6), 0) AS offlake
+FROM (SELECT date, abrv, count(*) AS n, count(dir) AS known, sum(pm10) FILTER (WHERE dir) AS on_sum,
+ sum(pm10) FILTER (WHERE NOT dir) AS off_sum
+ FROM (SELECT *, CASE WHEN abrv = 'OL' AND date = DATE '2024-01-17' THEN TRUE WHEN abrv IN ('DS', 'NB') THEN NULL ELSE onlake_wd END AS dir
+  FROM p_demixed) GROUP BY 1, 2
+ HAVING round_even(round(avg(pm10), 6), 0) >= 150) JOIN p_site USING (abrv) WHERE known > 0""")
+def shoreline_report_strict(p: Proxy):
+    """The site table without site-days of unknown direction (two sites have none), one day's direction overridden."""
+    blind = [t.withColumn("onlake_wd", F.when(~F.col("abrv").isin("DS", "NB"), F.col("onlake_wd"))) for t in (
+        tables.read_validated(p.validated_table, *JANUARY, order=["event_id"]),
+        tables.read_preliminary(p.preliminary_table, *JANUARY, order=["event_id"]))]
+    fixed = dims.local_table(p.spark, {"abrv": ["OL"], "date": [dtm.date(2024, 1, 17)], "onlake_override": [True]})
+    return shoreline.report_tables(shoreline.report_hours(*blind, overrides=fixed), p.site, strict=True)["site_table"]
+
+
+@query(f"""SELECT date, CASE WHEN deployment = 'Olancha' THEN 'Olancha*' ELSE deployment END AS site, pm10_onlake AS onlake,
+ pm10_offlake AS offlake, CASE WHEN abrv = 'KE' THEN pm10_dunes END AS dunes FROM (
+SELECT date, abrv, {BACKFILL_SQL} FROM p_exceeding) JOIN p_site USING (abrv)""")
+def exceed_site_table_dunes(p: Proxy):
+    return exc.exceed_site_table_dunes(exc.attribute_exceedances(_exceeding(p)), p.site)
+
+
 _CODE = "max(v) FILTER (WHERE code = {})"
 
 

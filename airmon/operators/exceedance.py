@@ -59,11 +59,11 @@ def attribute_exceedances(exceeding: DataFrame) -> DataFrame:
     return classify_event(backfill_24h(dunes_event(zero_empty_sectors(exceeding))))
 
 
-def site_day_breakdown(df: DataFrame, by: Sequence[str] = SITE_DAY) -> DataFrame:
+def site_day_breakdown(df: DataFrame, by: Sequence[str] = SITE_DAY, strict: bool = False) -> DataFrame:
     """Everything the daily report needs about a site-day, in one aggregate.
 
     ``daily_avg`` is the rounded mean of all hours; ``pm10_avg`` the sum of the two rounded sector
-    contributions, which the map shows.
+    contributions, which the map shows.  Site-days without any known direction have none, or no row when ``strict``.
     """
     n = F.count(F.lit(1))
     known = F.count("onlake")
@@ -72,7 +72,7 @@ def site_day_breakdown(df: DataFrame, by: Sequence[str] = SITE_DAY) -> DataFrame
         total = F.coalesce(F.sum(F.when(hit, F.col("pm10"))), F.lit(0.0))
         return F.when(known > 0, half_even(total / n))
 
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         half_even(F.avg("pm10")).alias("daily_avg"),
         part(F.col("onlake")).alias("onlake"),
         part(~F.col("onlake")).alias("offlake"),
@@ -80,6 +80,14 @@ def site_day_breakdown(df: DataFrame, by: Sequence[str] = SITE_DAY) -> DataFrame
         F.count_if(~F.col("onlake")).alias("hrs_offlake"),
         F.max(~F.col("valid")).alias("preliminary"),
     ).withColumn("pm10_avg", F.bround(F.col("onlake") + F.col("offlake"), 0))
+    return out.filter(F.col("pm10_avg").isNotNull()) if strict else out
+
+
+def exceed_site_table_dunes(attributed: DataFrame, sites: DataFrame) -> DataFrame:
+    """Site, Onlake, Offlake and Keeler Dunes means of attributed exceedances; dunes only at the dunes site."""
+    return attributed.join(sites.select("abrv", "deployment"), "abrv", "left").select(
+        "date", display_label("deployment").alias("site"), F.col("pm10_onlake").alias("onlake"),
+        F.col("pm10_offlake").alias("offlake"), F.when(F.col("abrv") == DUNES_SITE, F.col("pm10_dunes")).alias("dunes"))
 
 
 def exceed_site_table(breakdown: DataFrame, sites: DataFrame, threshold: float = STANDARD) -> DataFrame:

@@ -32,12 +32,13 @@ def report_hours(validated: DataFrame, preliminary: DataFrame, sectors: DataFram
     return rec.override_direction(hours, overrides) if overrides is not None else hours
 
 
-def report_tables(hours: DataFrame, sites: DataFrame) -> dict[str, DataFrame]:
+def report_tables(hours: DataFrame, sites: DataFrame, strict: bool = False) -> dict[str, DataFrame]:
     """All days of the report at once, keyed by date.
 
-    The tables share ``hours``: pass a snapshot of it, as each table is a query of its own.
+    The tables share ``hours``: pass a snapshot of it, as each table is a query of its own.  ``strict`` leaves
+    site-days without any known direction out of the site table and the labels.
     """
-    breakdown = exc.site_day_breakdown(hours)
+    breakdown = exc.site_day_breakdown(hours, strict=strict)
     exceeding = exc.exceedances(hours)
     # one row per calendar day, a proven bound: the hours need not move to find theirs
     days = F.broadcast(exceeding.select("date").distinct())
