@@ -208,7 +208,8 @@ def append_daily_tail(p: Proxy):
         F.max("value").alias("pm10_24"))
     before = p.source(True).filter(F.col("date") < F.lit("2024-01-20").cast("date"))
     daily = agg.daily_avg_rounded(before).withColumnRenamed("pm10_avg", "pm10_24")
-    return rec.append_daily_tail(daily, agency, "KE")
+    stored = p.readings.filter(F.col("valid") & (F.col("date") < F.lit("2024-01-20").cast("date")))
+    return rec.append_daily_tail(daily, agency, "KE", source=stored)
 
 
 @query("SELECT DISTINCT deployment, x, y FROM p_obs")

@@ -84,7 +84,7 @@ def trim_record(p: Proxy):
 
 @query("SELECT abrv, datetime, date, pm10 FROM p_hours WHERE date <> (SELECT max(date) FROM p_hours)")
 def drop_incomplete_last_day(p: Proxy):
-    return qc.drop_incomplete_last_day(p.hours).select("abrv", "datetime", "date", "pm10")
+    return qc.drop_incomplete_last_day(p.hours, source=p.readings).select("abrv", "datetime", "date", "pm10")
 
 
 @query("SELECT abrv, datetime, date, ws, wd, pm10, valid FROM p_demixed")

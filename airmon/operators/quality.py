@@ -104,9 +104,13 @@ def drop_nonexistent_local(df: DataFrame, dt: str = "datetime", zone: str = LOCA
     return df.filter(F.col(dt).isNotNull() & tc.exists_in_zone(dt, zone))
 
 
-def drop_incomplete_last_day(df: DataFrame, date: str = "date") -> DataFrame:
-    """Without the last day of the source.  The day is a scalar subquery, so rows do not move."""
-    return df.filter(F.col(date) != df.select(F.max(date)).scalar())
+def drop_incomplete_last_day(df: DataFrame, date: str = "date", source: DataFrame | None = None) -> DataFrame:
+    """Without the last day.  The day is a scalar subquery, so rows do not move.
+
+    It is looked up in ``source``, by default ``df`` itself, whose steps then run twice: give the stored rows
+    that ``df`` was made of when it is costly and keeps their days.
+    """
+    return df.filter(F.col(date) != (df if source is None else source).select(F.max(date)).scalar())
 
 
 def drop_mixed_preliminary(df: DataFrame) -> DataFrame:

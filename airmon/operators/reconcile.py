@@ -206,9 +206,15 @@ def after_last_of(
     )
 
 
-def append_daily_tail(daily: DataFrame, agency: DataFrame, site: str, date: str = "date", key: str = "abrv") -> DataFrame:
-    """Agency daily values of one site continue the computed series after its last day."""
-    mine = daily.filter(F.col(key) == site)
+def append_daily_tail(
+    daily: DataFrame, agency: DataFrame, site: str, date: str = "date", key: str = "abrv", source: DataFrame | None = None,
+) -> DataFrame:
+    """Agency daily values of one site continue the computed series after its last day.
+
+    That day is looked up in ``source``: the rows that ``daily`` was made of, if given, so that the means are not
+    computed twice.
+    """
+    mine = (daily if source is None else source).filter(F.col(key) == site)
     tail = after_last_of(agency.filter(F.col(key) == site), mine, date)
     return daily.unionByName(tail.select(*daily.columns))
 
