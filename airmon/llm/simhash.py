@@ -25,8 +25,8 @@ from airmon.llm.components import components
 CHUNK = 2048
 #: Rows compared in one go by a task; buckets are not cut by it.
 SLAB = 16384
-#: Bits of a pipeline signature and of its bands; 512 bits and five-word shingles estimate a similarity to about 0.03.
-WIDE_BITS, BAND_BITS, BANDS = 512, 20, 20
+#: Bits of a pipeline signature, and size and number of its bands; 1024 bits estimate a similarity to about 0.02.
+WIDE_BITS, BAND_BITS, BANDS = 1024, 20, 20
 
 
 def words_of(text: str | None) -> list[bytes]:
