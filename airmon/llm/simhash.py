@@ -25,8 +25,8 @@ from airmon.llm.components import components
 CHUNK = 2048
 #: Rows compared in one go by a task; buckets are not cut by it.
 SLAB = 16384
-#: Bits of a pipeline signature, and size and number of its bands; 1024 bits estimate a similarity to about 0.02.
-WIDE_BITS, BAND_BITS, BANDS = 1024, 20, 20
+#: Bits of a pipeline signature, and size and number of its MinHash bands: three in a million pairs at 0.8 share none.
+WIDE_BITS, BAND_ROWS, BANDS = 1024, 5, 32
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -220,22 +220,27 @@ def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6) -> DataFr
 
 
 def wide_signature(text: str | None) -> tuple[int, bytes, list[int]]:
-    """(hash of the words, signature of five-word shingles, band keys of the words) of a text.
+    """(hash of the words, SimHash of WIDE_BITS over the different five-word shingles, their MinHash band keys) of a text.
 
-    The signature has WIDE_BITS SimHash bits over the different shingles.  The bands are BAND_BITS-bit
-    slices of another SimHash, over the different words weighted by squared length: a changed word
-    touches five shingles but only one word, so near copies share bands far more often.
+    A band is BAND_ROWS minima, so texts of Jaccard measure s share one with chance 1 - (1 - s^BAND_ROWS)^BANDS.
     """
     words = words_of(text)
     node = xxhash.xxh64_intdigest(b" ".join(words), 7)
     grams = np.unique(shingle_hashes(words, 5))
-    vocabulary = list(set(words))
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in vocabulary), np.uint64, len(vocabulary))
-    weight = np.fromiter((len(w) ** 2 for w in vocabulary), np.float64, len(vocabulary))
     sig = np.packbits(_wide(grams, np.ones(len(grams)), WIDE_BITS)).tobytes()
-    bits = _wide(h, weight, BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
-    keys = bits @ (1 << np.arange(BAND_BITS, dtype=np.int64))
-    return node, sig, keys.tolist()
+    return node, sig, band_keys(grams).tolist()
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its minima under BAND_ROWS random odd multipliers, mixed; no hashes give no keys."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    odd = splitmix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 1) | np.uint64(1)
+    least = np.full(len(odd), np.uint64(2**64 - 1))
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (odd[:, None] * hashes[i : i + 1024]).min(axis=1), out=least)
+    mixed = splitmix(least.reshape(BANDS, BAND_ROWS) ^ np.arange(BAND_ROWS, dtype=np.uint64), 2)
+    return (mixed * odd[:BAND_ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _wide(h: np.ndarray, weight: np.ndarray, bits: int) -> np.ndarray:

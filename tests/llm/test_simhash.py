@@ -104,3 +104,36 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     kept = simhash.deduplicate(hard(spark)).select("doc_id", "text").collect()
     assert sorted((r.doc_id or -1, (r.text or "")[:3]) for r in kept) == [
         (1, "ano"), (1, "the"), (2, ""), (5, "wor"), (6, "xxx"), (7, "¿Qu"), (8, "one"), (9, "!!!")]
+
+
+def shingle_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def varied(rng, pairs):
+    """Texts in pairs of Jaccard measure 0.8 to 1: a passage put in, scattered changes, one long token that differs."""
+    word = lambda: "".join(rng.choice(list("abcdefghijklmno"), rng.integers(2, 10)))
+    out = []
+    for k in range(pairs):
+        a = [word() for _ in range(300)]
+        b = list(a)
+        if k % 3 == 0:
+            b[150:150] = [word() for _ in range(60)]
+        elif k % 3 == 1:
+            for i in range(0, 300, 50):
+                b[i] = word()
+        else:
+            a[100:100], b[100:100] = (["https://example.org/" + "".join(rng.choice(list("0123456789abcdef"), 42))] for _ in "ab")
+        out += [" ".join(a), " ".join(b)]
+    return out
+
+
+def test_deduplicate_finds_every_pair_at_the_limit(spark):
+    texts = varied(np.random.default_rng(3), 90)
+    sets = shingle_sets(texts)
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
+    assert sorted(r.doc_id for r in simhash.deduplicate(documents(spark, texts)).collect()) == list(range(0, 180, 2))
