@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airmon.llm.base import splitmix, written
 from airmon.llm.components import components
@@ -27,6 +27,8 @@ CHUNK = 2048
 SLAB = 16384
 #: Bits of a pipeline signature, and size and number of its MinHash bands: three in a million pairs at 0.8 share none.
 WIDE_BITS, BAND_ROWS, BANDS = 1024, 5, 32
+#: Linked texts compared exactly in one go: a larger group is dealt over parts of about so many texts or characters.
+PART_TEXTS, PART_CHARS = 128, 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -252,17 +254,100 @@ def _wide(h: np.ndarray, weight: np.ndarray, bits: int) -> np.ndarray:
     return 2 * total[:bits] > weight.sum()
 
 
-def wide_radius(similarity: float, bits: int = WIDE_BITS, sigmas: float = 2.0) -> int:
-    """Bits in which signatures of texts of that Jaccard similarity differ, plus the spread of the estimate."""
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def wide_radius(similarity: float, bits: int = WIDE_BITS, sigmas: float = 5.0) -> int:
+    """Bits within which signatures of texts of that Jaccard measure nearly surely lie.
+
+    The share of differing bits is the angle of the shingle sets; sets of so few shingles that votes tie differ
+    in more bits, four against five of them most (3/16).
+    """
+    p = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
     return int(bits * p + sigmas * np.sqrt(bits * p * (1 - p)))
 
 
+def alike(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Numbers (i, j) of a spanning forest of the pairs of ``sets`` (different hashes, never none) with that Jaccard measure.
+
+    Sets of equal ``label`` are joined already; every other pair is compared exactly.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    label, present, left, right = label.copy(), np.zeros(len(ids), np.int32), [], []
+    for i in range(len(sets) - 1):
+        n, m = size[i], size[i + 1 :]
+        if not ((label[i + 1 :] != label[i]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)).any():
+            continue
+        own = ids[start[i] : start[i] + n]
+        present[own] = 1
+        shared = np.add.reduceat(present[ids[start[i + 1] :]], start[i + 1 :] - start[i + 1])
+        present[own] = 0
+        for j in (np.flatnonzero(shared >= similarity * (n + m - shared) - 1e-9) + i + 1).tolist():
+            if label[i] != label[j]:
+                left.append(i), right.append(j)
+                label[label == label[j]] = label[i]
+    return left, right
+
+
+def similar(texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect exactly the ``texts`` (node, root, text) of a root whose five-word shingles are that similar.
+
+    Each root's texts are dealt over parts of about PART_TEXTS rows or PART_CHARS characters and compared within their
+    part.  Of a root with several parts the first texts of what is joined so far meet next, and what is then still
+    in pieces is compared over all pairs of parts; so a large group of copies is read a fixed number of times.
+    """
+    texts = written(texts.select("node", "root", "text", F.col("node").alias("label")), "linked")
+    near = written(_similar(texts, similarity, False), "similar")
+    parts = texts.groupBy("root").agg(_parts().alias("parts")).where("parts > 1").select("root")
+    large = written(texts.join(parts, "root"), "large")
+    for firsts in (True, False):
+        if large.isEmpty():
+            break
+        joined = components(near).withColumnRenamed("root", "label")
+        now = large.drop("label").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pieces = now.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
+        large = written(now.join(pieces, "root").select("node", "root", "text", "label"), "large")
+        near = written(near.union(_similar(large.where("node = label") if firsts else large, similarity, True)), "similar")
+    return near
+
+
+def _parts() -> Column:
+    return F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.char_length("text")) / PART_CHARS)).cast("int")
+
+
+def _similar(texts: DataFrame, similarity: float, across: bool) -> DataFrame:
+    """Links of the texts of each part, or of each pair of parts."""
+    met = texts.join(texts.groupBy("root").agg(_parts().alias("parts")), "root")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else own
+    met = met.withColumn("own", own).withColumn("other", other)
+    key = ["root", "lo", "hi"]
+    met = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label", "text")
+    met = met.repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, labels, sets = None, [], [], []
+        for b in batches:
+            for root, lo, hi, node, label, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (root, lo, hi) != at:
+                    yield found(nodes, labels, sets)
+                    at, nodes, labels, sets = (root, lo, hi), [], [], []
+                nodes.append(node), labels.append(label)
+                sets.append(np.unique(shingle_hashes(words_of(text), 5)))
+        yield found(nodes, labels, sets)
+
+    def found(nodes: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        i, j = alike(sets, np.array(labels, np.int64), similarity) if len(sets) > 1 else ([], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([nodes[k] for k in i], pa.int64()), pa.array([nodes[k] for k in j], pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without near copies: of each group of texts linked by ``similarity`` the smallest doc_id stays.
 
-    Similarity is the Jaccard measure of five-word shingles, estimated by SimHash signatures.  Texts with the
-    same words are copies; so are all texts without words.  Rows with a null doc_id lose to any other of
+    Similarity is the Jaccard measure of five-word shingles.  Texts that share a MinHash band and whose SimHash
+    signatures are near are candidates; links are verified on the shingles.  Texts with the same words are copies; so are all texts without words.  Rows with a null doc_id lose to any other of
     their group; of repeated rows one stays.  All columns are kept, whatever their names.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,9 +366,11 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     first = first.select("node", "m", F.col("m.row").alias("row"))
     # copies of a text have equal signatures, so the row of the first id stands for all
     one = signed.join(first.select("node", "row"), ["node", "row"]).dropDuplicates(["node"])
-    nodes = written(one.select("node", "sig", F.transform(
+    nodes = written(one.select("node", "row", "sig", F.transform(
         "keys", lambda k, i: F.struct(i.cast("int").alias("band"), k.alias("key"))).alias("bands")), "nodes")
-    root = components(links(nodes, wide_radius(similarity)))
+    near = nodes.select("node", "row").join(components(links(nodes, wide_radius(similarity))), "node")
+    texts = packed.select("row", "r.text").join(near, "row").dropDuplicates(["node"])
+    root = components(similar(texts, similarity))
     kept = first.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     kept = kept.select(F.col("m.row").alias("row"))
     return packed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("r.*")

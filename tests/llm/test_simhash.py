@@ -137,3 +137,32 @@ def test_deduplicate_finds_every_pair_at_the_limit(spark):
     sets = shingle_sets(texts)
     assert all(jaccard(a, b) >= 0.8 for a, b in zip(sets[::2], sets[1::2]))
     assert sorted(r.doc_id for r in simhash.deduplicate(documents(spark, texts)).collect()) == list(range(0, 180, 2))
+
+
+def test_deduplicate_removes_at_the_limit_and_not_below(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts, gone = [], []
+    for k in range(120):
+        a = ["".join(rng.choice(list("abcdefghijklmno"), 7)) for _ in range(44)]
+        texts += [" ".join(a), " ".join(a[: 36 - k % 2])]
+        gone += [] if k % 2 else [2 * k + 1]
+    sets = shingle_sets(texts)
+    assert {jaccard(a, b) for a, b in zip(sets[::2], sets[1::2])} == {32 / 40, 31 / 40}
+    docs = documents(spark, texts)
+    assert sorted(set(range(240)) - {r.doc_id for r in simhash.deduplicate(docs).collect()}) == gone
+
+
+def test_large_groups_are_verified_over_their_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_TEXTS", 8)
+    rng = np.random.default_rng(6)
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 400)]
+    # windows that move on: neighbours are alike, the ends are not
+    texts = [" ".join(words[i : i + 60]) for i in rng.permutation(range(0, 200, 4)).tolist()]
+    texts += [" ".join(words[300 + 13 * i : 360 + 13 * i]) for i in range(4)]
+    sets = shingle_sets(texts)
+    near = [(i, j) for i in range(54) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    got = {(r.a, r.b) for r in simhash.similar(spark.createDataFrame(rows, "node long, root long, text string"), 0.8).collect()}
+    assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
+    parts = lambda pairs: frozenset(map(frozenset, _parts(54, pairs)))
+    assert len(parts(near)) == 5 and parts(got) == parts(near)
