@@ -13,13 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airmon.llm.base import fold
 
 #: The training sample: for each language at most this many documents, spread by a hash of the id, and this many
-#: characters of each.  It bounds the automata; predictions read whole texts.
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 512
+#: characters of each (32,768 in all), in pieces spread over the whole text.  It bounds the automata; predictions
+#: read whole texts.
+SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 64, 512, 4
 #: Characters parsed side by side are taken from blocks of this length; every language gets the same cuts.
 BLOCK = 2048
 #: Blocks parsed at a time by a task.
@@ -28,17 +29,30 @@ LANES = 2048
 CELLS = 8_000_000
 
 
-def training_text(docs: DataFrame) -> dict[str, str]:
-    """Language to its sample; rows of the held-out fold and rows without text or language teach nothing."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 5) != 0))
-    rows = (
-        known.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("part"))
+def pieces(text: str, seed: str) -> Column:
+    """SAMPLE_CHARS characters of a text: one piece from each of PIECES equal stretches, its place chosen by hash; short texts whole."""
+    n, piece = F.char_length(text), SAMPLE_CHARS // PIECES
+    at = [F.floor(n * k / PIECES) for k in range(PIECES + 1)]
+    cut = [F.substring(text, (at[k] + F.pmod(F.xxhash64(seed, F.lit(k)), F.greatest(at[k + 1] - at[k] - piece + 1, F.lit(1))) + 1).cast("int"), F.lit(piece))
+           for k in range(PIECES)]
+    return F.when(n <= SAMPLE_CHARS, F.col(text)).otherwise(F.concat_ws(" ", *cut))
+
+
+def sampled(docs: DataFrame, held_out: bool) -> DataFrame:
+    """(lang, slot, part): the sample of each language from the held-out fold or from the others."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold("doc_id", 5) == 0) == held_out))
+    return (
+        known.select("lang", "doc_id", pieces("text", "doc_id").alias("part"))
         .withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_DOCS)))
         .groupBy("lang", "slot").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("o"), "doc_id", "part")).alias("m"))
-        .select("lang", "slot", "m.part").collect()
+        .select("lang", "slot", "m.part")
     )
+
+
+def training_text(docs: DataFrame) -> dict[str, str]:
+    """Language to its sample; rows of the held-out fold and rows without text or language teach nothing."""
     out: dict[str, str] = {}
-    for r in sorted(rows):
+    for r in sorted(sampled(docs, False).collect()):
         out[r.lang] = out.get(r.lang, "") + " " + r.part
     return dict(sorted(out.items()))
 

@@ -77,3 +77,11 @@ def test_filter_keeps_clean_rows(spark):
 @pytest.mark.parametrize("text", ["", None, "123 !!", "\n"])
 def test_no_letters_is_und(text):
     assert langid.judge([text], (("en", "the and of"),))[0][0] == "und"
+
+
+def test_training_reads_beyond_a_shared_header(spark):
+    header = "Permission is hereby granted to any person obtaining a copy of this text. " * 10
+    body = "zwölf boxkämpfer jagen viktor quer über den großen sylter deich " * 60
+    docs = documents(spark, [header + body] * 20, langs=["de"] * 20)
+    text = langid.training_text(docs)["de"]
+    assert len(text) <= 20 * (langid.SAMPLE_CHARS + langid.PIECES) and text.count("sylter") > text.count("Permission")
