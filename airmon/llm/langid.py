@@ -21,6 +21,8 @@ from airmon.llm.base import fold
 #: characters of each (32,768 in all), in pieces spread over the whole text.  It bounds the automata; predictions
 #: read whole texts.
 SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 64, 512, 4
+#: Held-out documents from which a language has a reject limit of its own.
+LEAST_HELD = 8
 #: Characters parsed side by side are taken from blocks of this length; every language gets the same cuts.
 BLOCK = 2048
 #: Blocks parsed at a time by a task.
@@ -201,17 +203,52 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double")
 
 
-def keep_identified(docs: DataFrame, most_bits: float = 12.0) -> DataFrame:
-    """The rows of ``docs`` with a language: not ``und``, and at most ``most_bits`` bits a character.
+def usual_bits(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> dict[str, float]:
+    """Language to the median bits a character of its held-out sample, at the phrase cost of the longest training text.
 
-    Text of no learned language breaks into phrases of one or two characters, over twelve bits each on
-    average; text of a learned language stays far below.  All columns are kept.
+    Languages of fewer than LEAST_HELD held-out documents have the median over the languages that have more.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = parser(learned)
+        for b in batches:
+            codes = [normal(t) for t in b.column("part").to_pylist()]
+            cost = p.phrases(codes) * p.bits.max()
+            bits = [float(c[p.langs.index(lang)] / len(x)) if lang in p.langs and (x != 32).any() else None
+                    for lang, c, x in zip(b.column("lang").to_pylist(), cost, codes)]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(bits, pa.float64())], ["lang", "bits"])
+
+    if not learned:
+        return {}
+    rows = sampled(docs, True).select("lang", "part").mapInArrow(run, "lang string, bits double").where("bits IS NOT NULL")
+    found = rows.groupBy("lang").agg(F.expr("percentile(bits, 0.5)").alias("bits"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD)
+    own = {r.lang: r.bits for r in found.collect()}
+    return {lang: own.get(lang, float(np.median(list(own.values())))) for lang, _ in learned} if own else {}
+
+
+def keep_identified(docs: DataFrame, slack: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` with a language: not ``und``, and explained about as well as held-out text of the language.
+
+    A text may cost ``slack`` times the usual bits a character of its language, and two phrases more, which matters
+    for short ones; never as much as phrases of 1.2 characters.  Phrases cost the same in all languages here, those
+    of the longest training text, so that one with little training text is not cheaper.  A language with too few
+    held-out documents has the limit of the others; where none has enough, only ``und`` goes.  All columns are kept.
     """
     learned = tuple(training_text(docs).items())
+    usual = usual_bits(docs, learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrase = dict(zip(parser(learned).langs, parser(learned).bits.tolist())) if learned else {}
+        most = max(phrase.values(), default=0.0)
         for b in batches:
-            found = judge(b.column("text").to_pylist(), learned)
-            yield b.filter(pa.array([lang != "und" and bits <= most_bits for lang, _, bits in found], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            keep = []
+            for t, (lang, _, bits) in zip(texts, judge(texts, learned)):
+                good = lang != "und"
+                if good and usual:
+                    limit = min(slack * usual[lang], most / 1.2)
+                    cost = bits * most / phrase[lang]
+                    good = cost <= limit or (cost - limit) * len(normal(t)) <= 2 * most
+                keep.append(good)
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

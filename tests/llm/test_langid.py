@@ -85,3 +85,21 @@ def test_training_reads_beyond_a_shared_header(spark):
     docs = documents(spark, [header + body] * 20, langs=["de"] * 20)
     text = langid.training_text(docs)["de"]
     assert len(text) <= 20 * (langid.SAMPLE_CHARS + langid.PIECES) and text.count("sylter") > text.count("Permission")
+
+
+FINNISH = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+           "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin.")
+RUSSIAN = ("Все люди рождаются свободными и равными в своем достоинстве и правах", "Каждый человек имеет право на жизнь, на труд и отдых")
+
+
+def test_filter_rejects_what_was_not_learned(spark):
+    rng = np.random.default_rng(8)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 900))
+    # 1000004 is no id of the held-out fold, so its label has a training text, a tiny one
+    ids = [1000001, 1000002, 1000003, 1000004]
+    more = documents(spark, [FINNISH, noise, RUSSIAN[1], RUSSIAN[0]], langs=[None, None, None, "ru"], ids=ids)
+    learned = langid.training_text(docs.unionByName(more.select(docs.columns)))
+    assert "ru" in learned and len(learned["ru"]) < 100
+    got = {r.doc_id for r in langid.keep_identified(docs.unionByName(more.select(docs.columns))).collect()}
+    assert got & set(ids) == {1000004} and len(got) > 190
