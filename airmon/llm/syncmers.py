@@ -1,6 +1,6 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-The letters are words (long ones cut every LONGEST characters).  A run of seven words is kept if, of the six
+The letters are words (those over LONGEST characters, as in unspaced scripts, are read character by character).  A run of seven words is kept if, of the six
 pairs of neighbours inside it, a pair at either edge has the smallest hash.  Whether a run is kept
 depends on nothing outside it, so equal passages keep the same runs, in the same order, wherever they
 stand; about one run in three is kept, and any two that follow each other overlap.
@@ -12,25 +12,36 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from airmon.llm.base import let
 
-#: Words of a run, and the characters of a word at which it is cut.
+#: Words of a run, and the most characters of a word; longer unbroken text is read as single characters.
 RUN, LONGEST = 7, 16
+_LETTER = rf"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{{1,{LONGEST}}}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 #: Ranges of ids at most; each is one window of neighbours.
 RANGES = 1 << 16
 
 
 def anchors(text: Column) -> Column:
-    """The hashes (32 bits) of the kept runs in text order; a text of fewer words is one run, without words none."""
+    """The hashes (32 bits) of the kept runs in text order, at least one where there are words.
+
+    Where no run is closed (texts of up to about ten words) the run around the smallest pair is kept; of fewer than
+    RUN words all pairs are, of one word that word.
+    """
     def kept(t: Column) -> Column:
         pairs = F.transform(t, lambda w, i: F.xxhash64(w, F.get(t, i + 1)))
-        return let(pairs, lambda h: F.transform(F.filter(
+        return let(pairs, lambda h: let(F.filter(
             F.sequence(F.lit(0), F.size(t) - RUN),
             lambda i: F.least(F.get(h, i), F.get(h, i + 5)) <= F.least(*(F.get(h, i + k) for k in range(1, 5)))),
-            lambda i: small(F.xxhash64(F.get(h, i), F.get(h, i + 2), F.get(h, i + 4), F.get(t, i + 6)))))
+            lambda runs: F.transform(
+                F.when(F.size(runs) > 0, runs).otherwise(F.array(smallest(t, h))),
+                lambda i: small(F.xxhash64(F.get(h, i), F.get(h, i + 2), F.get(h, i + 4), F.get(t, i + 6))))))
+
+    def smallest(t: Column, h: Column) -> Column:
+        at = F.array_position(h, F.array_min(F.slice(h, F.lit(1), F.size(t) - 1))).cast("int") - 1
+        return F.least(at, F.size(t) - RUN)
 
     small = lambda x: F.shiftright(x, 32).cast("int")
-    return let(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{LONGEST}}}"), F.lit(0)), lambda t: F.when(
-        F.size(t) >= RUN, kept(t)).when(F.size(t) > 0, F.array(small(F.xxhash64(F.concat_ws(" ", t))))).otherwise(
-        F.array().cast("array<int>")))
+    return let(F.regexp_extract_all(text, F.lit(_LETTER), F.lit(0)), lambda t: F.when(F.size(t) >= RUN, kept(t)).when(
+        F.size(t) > 1, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: small(F.xxhash64(F.get(t, i), F.get(t, i + 1))))).when(
+        F.size(t) > 0, F.transform(t, lambda w: small(F.xxhash64(w)))).otherwise(F.array().cast("array<int>")))
 
 
 def written_out(fp: Column) -> Column:

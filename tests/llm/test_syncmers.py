@@ -86,3 +86,18 @@ def test_hard_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = op2_syncmer_fingerprints(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "SinglePartition" not in plan
+
+
+def test_short_and_unbroken_texts_have_anchors(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    short = [[word() for _ in range(n)] for n in range(1, 11) for _ in range(30)]
+    cjk = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(300))
+    texts = [" ".join(w) for w in short] + [cjk, "\u4e00" + cjk, "one two three four five six", "one two three four five changed", "", " "]
+    a = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", syncmers.anchors(F.col("t")).alias("x"))
+    got = [x for _, x in sorted(map(tuple, a.collect()))]
+    assert all(got[:-2]) and got[-2:] == [[], []]
+    pairs = [(got[i], got[i + 1]) for i in (*range(180, 299), 300, 302, 304)]
+    near = [r.n for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<int>, b array<int>").select(
+        "i", syncmers.likeness(F.col("a"), F.col("b")).alias("n")).orderBy("i").collect()]
+    assert max(near[:119]) < 1 and near[119] > 0.9 and 0 < near[120] < 1 and near[121] == 1
