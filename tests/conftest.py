@@ -1,4 +1,3 @@
-import datetime as dtm
 import os
 import sys
 
@@ -19,19 +18,3 @@ def spark(tmp_path_factory):
     s.conf.set("spark.sql.debug.maxToStringFields", "1000")
     yield s
     s.stop()
-
-
-def t(text: str) -> dtm.datetime:
-    return dtm.datetime.fromisoformat(text)
-
-
-def d(text: str) -> dtm.date:
-    return dtm.date.fromisoformat(text)
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

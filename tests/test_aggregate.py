@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from airmon.operators import aggregate as agg, direction, exceedance as exc, quality as qc, reshape
-from conftest import d, rows, t
+from helpers import d, rows, t
 
 D1 = d("2017-01-01")
 OBS = "date date, abrv string, pm10 double, wd double, onlake boolean, dunes boolean, valid boolean"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from airmon.functions import timecol as tc, values as val
 from airmon.operators import quality as qc
 from airmon.operators.calendar import with_bucket, with_hour, with_hour_ending_date
-from conftest import d, rows, t
+from helpers import d, rows, t
 
 
 def one(spark, schema, values, *cols):

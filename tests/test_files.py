@@ -3,7 +3,7 @@ import json
 from airmon import schemas
 from airmon.dims import EXPORT_SITES
 from airmon.sources import files, sinks, snapshot, tables
-from conftest import d, plan, rows, t
+from helpers import d, plan, rows, t
 
 
 def test_mixed_dates_and_crlf(spark, tmp_path):

@@ -8,7 +8,7 @@ from airmon.operators import aggregate as agg, quality as qc, reconcile as rec
 from airmon.plans import agency, flux
 from airmon.session import clear_scratch, scratch_folder, scratch_path
 from airmon.sources import files, sinks, tables
-from conftest import d, plan, rows, t
+from helpers import d, plan, rows, t
 
 FLAGS = "deployment_id int, field_id int, start_datetime timestamp_ntz, end_datetime timestamp_ntz"
 

@@ -9,7 +9,7 @@ import oracle
 from airmon.catalog.proxy import Proxy
 from airmon.catalog.registry import QUERIES
 from airmon.operators import quality as qc
-from conftest import plan
+from helpers import plan
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")

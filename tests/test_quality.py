@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from airmon import dims
 from airmon.operators import quality as qc
 from airmon.operators.intervals import bucket_intervals, merge_intervals
-from conftest import d, rows, t
+from helpers import d, rows, t
 
 import datetime as dtm
 

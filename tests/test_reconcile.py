@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from airmon import dims
 from airmon.operators import quality as qc, reconcile as rec
-from conftest import d, rows, t
+from helpers import d, rows, t
 
 SRC = ("abrv string, datetime timestamp_ntz, date date, ws double, wd double, pm10 double, onlake_wd boolean, valid boolean")
 H1, H2 = t("2017-01-01 01:00:00"), t("2017-01-01 02:00:00")
