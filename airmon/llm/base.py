@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from airmon.session import scratch_path
 
@@ -24,6 +24,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with ``rank`` (0, 1, ...) of each row in its group, nulls first, and ``total``, the rows of the group.
+
+    One exchange by range puts the rows in order; a task numbers its own rows and only counts per task and group
+    are summed up.  So no task holds a group.  Rows equal in ``order`` must be equal altogether.
+    """
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(*group, *order) if (*group, *order) else df
+    rows = written(rows.sortWithinPartitions(*group, *order).withColumn("at", at), name)
+    rows = rows.withColumn("task", F.shiftright("at", 33))
+    runs = rows.groupBy(*group, "task").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    of = Window.partitionBy(*group)
+    before = F.sum("n").over(of.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    runs = runs.select(*(F.col(c).alias(f"run_{c}") for c in group), F.col("task").alias("run_task"), "first",
+                       before.alias("before"), F.sum("n").over(of).alias("total"))
+    same = rows["task"] == runs["run_task"]
+    for c in group:
+        same = same & rows[c].eqNullSafe(runs[f"run_{c}"])
+    return rows.join(runs, same).select(*df.columns, (F.col("at") - F.col("first") + F.col("before")).alias("rank"), "total")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

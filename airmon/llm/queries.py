@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from airmon.llm import decontam, langid, lmscore, mixing, pii, repeats, secret_scan, simhash, syncmers, toxicity
+from airmon.llm import conversations, decontam, langid, lmscore, merkle, mixing, pii, repeats, secret_scan, simhash, syncmers, toxicity
 from airmon.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = merkle.check(docs.withColumn("text_now", merkle.tampered_text()))
+    return out.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+ORACLES["op12_merkle_manifest"] = merkle.ORACLE
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audits, turns = conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+    sums = conversations.digests(turns).withColumnRenamed("conv_id", "of")
+    return audits.join(sums, audits["conv_id"].eqNullSafe(sums["of"])).drop("of")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
