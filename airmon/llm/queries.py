@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from airmon.llm import conversations, decontam, langid, lmscore, merkle, mixing, pii, repeats, secret_scan, simhash, syncmers, toxicity
+from airmon.llm import conversations, decontam, langid, linktrust, lmscore, merkle, mixing, pii, repeats, secret_scan, simhash, syncmers, toxicity
 from airmon.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linktrust.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op11_url_filter"] = linktrust.ORACLE
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
