@@ -18,17 +18,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airmon.llm.base import splitmix, written
+from airmon.llm.base import written
 from airmon.llm.components import components
 
 #: A bucket beyond this many rows is dealt over pairs of chunks of about this size, so no task holds a hot bucket.
 CHUNK = 2048
 #: Rows compared in one go by a task; buckets are not cut by it.
 SLAB = 16384
-#: Bits of a pipeline signature, and size and number of its MinHash bands: three in a million pairs at 0.8 share none.
-WIDE_BITS, BAND_ROWS, BANDS = 1024, 5, 32
-#: Linked texts compared exactly in one go: a larger group is dealt over parts of about so many texts or characters.
-PART_TEXTS, PART_CHARS = 128, 1_000_000
+#: Most differing bits of a link, and the blocks that a fingerprint is cut into to find them.
+RADIUS, BLOCKS = 4, 6
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -58,14 +56,17 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row: SimHash of four-word shingles, repeats included; no words give 0."""
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, columns to keep, fp long) of every row: SimHash of four-word shingles, repeats included; no words give 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    kept = rows.columns[:-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([majority(shingle_hashes(words_of(t), 4)) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(fp.view(np.int64))], [*kept, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes[:-1]) + ", fp long")
 
 
 def planes_of(sig: np.ndarray) -> np.ndarray:
@@ -194,183 +195,54 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     return met.mapInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (the smallest doc_id reachable over links).
-
-    Fingerprints link at ``radius`` or fewer differing bits.  Of ``blocks`` blocks of a fingerprint at
-    least blocks - radius are equal in a link, so every link shares one of the chosen sets of blocks.
+def rooted(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """(fp, root) of every different fingerprint of ``fps``; root is the same for all that are linked.
 
-    Null or empty text: fingerprint 0, which links like any other.  A null doc_id is kept and cannot
-    name a component; a component of null ids only has a null id.  Repeated rows give repeated rows.
-    An empty table gives no rows.  Columns other than doc_id and text are not read.
+    Of ``blocks`` blocks of a fingerprint at least blocks - radius are equal in a link, so every link shares one of
+    the chosen sets of blocks.
     """
-    fps = written(fingerprints(docs), "fingerprints")
-    per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     cut = [64 * i // blocks for i in range(blocks + 1)]
     block = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cut, cut[1:])]
     bands = [
         F.struct(F.lit(i).alias("band"), F.xxhash64(*(block[b] for b in chosen)).alias("key"))
         for i, chosen in enumerate(combinations(range(blocks), blocks - radius))
     ]
-    nodes = per_fp.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sig"), F.array(*bands).alias("bands"))
+    different = fps.select("fp").distinct()
+    nodes = different.select(F.col("fp").alias("node"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("sig"), F.array(*bands).alias("bands"))
     root = components(links(nodes, radius))
-    rooted = written(per_fp.join(root, per_fp["fp"] == root["node"], "left")
-                     .select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
+    return written(different.join(root, different["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
-def wide_signature(text: str | None) -> tuple[int, bytes, list[int]]:
-    """(hash of the words, SimHash of WIDE_BITS over the different five-word shingles, their MinHash band keys) of a text.
-
-    A band is BAND_ROWS minima, so texts of Jaccard measure s share one with chance 1 - (1 - s^BAND_ROWS)^BANDS.
-    """
-    words = words_of(text)
-    node = xxhash.xxh64_intdigest(b" ".join(words), 7)
-    grams = np.unique(shingle_hashes(words, 5))
-    sig = np.packbits(_wide(grams, np.ones(len(grams)), WIDE_BITS)).tobytes()
-    return node, sig, band_keys(grams).tolist()
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band: its minima under BAND_ROWS random odd multipliers, mixed; no hashes give no keys."""
-    if not len(hashes):
-        return np.empty(0, np.int64)
-    odd = splitmix(np.arange(BANDS * BAND_ROWS, dtype=np.uint64), 1) | np.uint64(1)
-    least = np.full(len(odd), np.uint64(2**64 - 1))
-    for i in range(0, len(hashes), 1024):
-        np.minimum(least, (odd[:, None] * hashes[i : i + 1024]).min(axis=1), out=least)
-    mixed = splitmix(least.reshape(BANDS, BAND_ROWS) ^ np.arange(BAND_ROWS, dtype=np.uint64), 2)
-    return (mixed * odd[:BAND_ROWS]).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _wide(h: np.ndarray, weight: np.ndarray, bits: int) -> np.ndarray:
-    total, lanes = np.zeros(-(-bits // 64) * 64), -(-bits // 64)
-    for i in range(0, len(h), 4096):
-        x = np.stack([splitmix(h[i : i + 4096], s) for s in range(lanes)], axis=1)
-        on = np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1)
-        total += weight[i : i + 4096].astype(np.float32) @ on.astype(np.float32)
-    return 2 * total[:bits] > weight.sum()
-
-
-def wide_radius(similarity: float, bits: int = WIDE_BITS, sigmas: float = 5.0) -> int:
-    """Bits within which signatures of texts of that Jaccard measure nearly surely lie.
-
-    The share of differing bits is the angle of the shingle sets; sets of so few shingles that votes tie differ
-    in more bits, four against five of them most (3/16).
-    """
-    p = max(float(np.arccos(2 * similarity / (1 + similarity)) / np.pi), 3 / 16)
-    return int(bits * p + sigmas * np.sqrt(bits * p * (1 - p)))
-
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """One row per document: doc_id, fp (long), component_id (the smallest doc_id reachable over links).
 
-def alike(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Numbers (i, j) of a spanning forest of the pairs of ``sets`` (different hashes, never none) with that Jaccard measure.
+    Fingerprints link at ``radius`` or fewer differing bits.
 
-    Sets of equal ``label`` are joined already; every other pair is compared exactly.
-    """
-    size = np.fromiter(map(len, sets), np.int64, len(sets))
-    start = np.cumsum(size) - size
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    label, present, left, right = label.copy(), np.zeros(len(ids), np.int32), [], []
-    for i in range(len(sets) - 1):
-        n, m = size[i], size[i + 1 :]
-        if not ((label[i + 1 :] != label[i]) & (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9)).any():
-            continue
-        own = ids[start[i] : start[i] + n]
-        present[own] = 1
-        shared = np.add.reduceat(present[ids[start[i + 1] :]], start[i + 1 :] - start[i + 1])
-        present[own] = 0
-        for j in (np.flatnonzero(shared >= similarity * (n + m - shared) - 1e-9) + i + 1).tolist():
-            if label[i] != label[j]:
-                left.append(i), right.append(j)
-                label[label == label[j]] = label[i]
-    return left, right
-
-
-def similar(texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect exactly the ``texts`` (node, root, text) of a root whose five-word shingles are that similar.
-
-    Each root's texts are dealt over parts of about PART_TEXTS rows or PART_CHARS characters and compared within their
-    part.  Of a root with several parts the first texts of what is joined so far meet next, and what is then still
-    in pieces is compared over all pairs of parts; so a large group of copies is read a fixed number of times.
+    Null or empty text: fingerprint 0, which links like any other.  A null doc_id is kept and cannot
+    name a component; a component of null ids only has a null id.  Repeated rows give repeated rows.
+    An empty table gives no rows.  Columns other than doc_id and text are not read.
     """
-    texts = written(texts.select("node", "root", "text", F.col("node").alias("label")), "linked")
-    near = written(_similar(texts, similarity, False), "similar")
-    parts = texts.groupBy("root").agg(_parts().alias("parts")).where("parts > 1").select("root")
-    large = written(texts.join(parts, "root"), "large")
-    for firsts in (True, False):
-        if large.isEmpty():
-            break
-        joined = components(near).withColumnRenamed("root", "label")
-        now = large.drop("label").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pieces = now.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("root")
-        large = written(now.join(pieces, "root").select("node", "root", "text", "label"), "large")
-        near = written(near.union(_similar(large.where("node = label") if firsts else large, similarity, True)), "similar")
-    return near
-
-
-def _parts() -> Column:
-    return F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum(F.char_length("text")) / PART_CHARS)).cast("int")
-
-
-def _similar(texts: DataFrame, similarity: float, across: bool) -> DataFrame:
-    """Links of the texts of each part, or of each pair of parts."""
-    met = texts.join(texts.groupBy("root").agg(_parts().alias("parts")), "root")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if across else own
-    met = met.withColumn("own", own).withColumn("other", other)
-    key = ["root", "lo", "hi"]
-    met = met.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "label", "text")
-    met = met.repartition(*key).sortWithinPartitions(*key)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, labels, sets = None, [], [], []
-        for b in batches:
-            for root, lo, hi, node, label, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (root, lo, hi) != at:
-                    yield found(nodes, labels, sets)
-                    at, nodes, labels, sets = (root, lo, hi), [], [], []
-                nodes.append(node), labels.append(label)
-                sets.append(np.unique(shingle_hashes(words_of(text), 5)))
-        yield found(nodes, labels, sets)
-
-    def found(nodes: list[int], labels: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        i, j = alike(sets, np.array(labels, np.int64), similarity) if len(sets) > 1 else ([], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([nodes[k] for k in i], pa.int64()), pa.array([nodes[k] for k in j], pa.int64())], ["a", "b"])
-
-    return met.mapInArrow(run, "a long, b long")
+    fps = written(fingerprints(docs), "fingerprints")
+    per_fp = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted(fps, radius, blocks), "fp")
+    per_fp = written(per_fp, "rooted")
+    named = per_fp.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = per_fp.join(named, "root").select("fp", "component_id")
+    return fps.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """``docs`` without near copies: of each group of texts linked by ``similarity`` the smallest doc_id stays.
+def deduplicate(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``docs`` without near copies: of each component of linked fingerprints the document of the smallest doc_id stays.
 
-    Similarity is the Jaccard measure of five-word shingles.  Texts that share a MinHash band and whose SimHash
-    signatures are near are candidates; links are verified on the shingles.  Texts with the same words are copies; so are all texts without words.  Rows with a null doc_id lose to any other of
-    their group; of repeated rows one stays.  All columns are kept, whatever their names.
+    Links are those of :func:`near_duplicates`: fingerprints of four-word shingles at ``radius`` or fewer differing
+    bits.  Texts without words are copies of each other.  Rows with a null doc_id lose to any other of their component;
+    of rows with one id, and of repeated rows, one stays.  An empty table stays empty.  All columns are kept, whatever
+    their names; a row is told from others by two hashes of its values (columns with maps aside).
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [wide_signature(t) for t in b.column("text").to_pylist()]
-            node = np.array([x[0] for x in out], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("row"), pa.array(node), pa.array([x[1] for x in out], pa.binary()),
-                 pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["doc_id", "row", "node", "sig", "keys"])
-
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
-    packed = packed.withColumn("doc_id", F.col("r.doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "r.text"))
-    signed = written(packed.select("doc_id", "row", "r.text").mapInArrow(
-        run, "doc_id long, row long, node long, sig binary, keys array<long>"), "signatures")
-    first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("m"))
-    first = first.select("node", "m", F.col("m.row").alias("row"))
-    # copies of a text have equal signatures, so the row of the first id stands for all
-    one = signed.join(first.select("node", "row"), ["node", "row"]).dropDuplicates(["node"])
-    nodes = written(one.select("node", "row", "sig", F.transform(
-        "keys", lambda k, i: F.struct(i.cast("int").alias("band"), k.alias("key"))).alias("bands")), "nodes")
-    near = nodes.select("node", "row").join(components(links(nodes, wide_radius(similarity))), "node")
-    texts = packed.select("row", "r.text").join(near, "row").dropDuplicates(["node"])
-    root = components(similar(texts, similarity))
-    kept = first.join(root, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
-    kept = kept.select(F.col("m.row").alias("row"))
-    return packed.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("r.*")
+    values = [F.col(f"r.`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    packed = packed.withColumns({"one": F.xxhash64(*values), "two": F.xxhash64(F.lit("row"), *values)})
+    fps = written(fingerprints(packed.select("r.doc_id", "one", "two", "r.text"), "one", "two"), "fingerprints")
+    best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "one", "two")
+    per_fp = fps.groupBy("fp").agg(F.min(best).alias("best")).join(rooted(fps, radius, blocks), "fp")
+    kept = per_fp.groupBy("root").agg(F.min("best").alias("best")).select("best.one", "best.two")
+    return packed.join(written(kept, "kept"), ["one", "two"], "left_semi").dropDuplicates(["one", "two"]).select("r.*")

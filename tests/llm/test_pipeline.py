@@ -3,6 +3,7 @@ from airmon.llm import decontam, mixing
 from airmon.llm.queries import QUERIES
 from cases import clashing, hard
 from test_pii import brute as base_spans
+from test_simhash import brute as components_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,21 +21,10 @@ def test_stages_do_what_they_say(spark):
     assert all(x.columns == docs.columns for x in (langs, deduped, clean, redacted))
     assert langs.count() == sum(any(c.isalpha() for c in r.text or "") for r in raw.collect())
 
-    # near copies by brute force: five-word shingles at 0.8 or more
+    # of each component of the operator's links the smallest id stays
     rows = {r.doc_id: r.text for r in langs.collect()}
-    grams = {d: frozenset(decontam.shingles(t.encode().lower().split())) for d, t in rows.items()}
     kept = {r.doc_id for r in deduped.collect()}
-    part = {d: d for d in rows}
-    order = sorted(rows)
-    near = [(a, b) for i, b in enumerate(order) for a in order[:i] if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
-    for _ in order:
-        for a, b in near:
-            part[a] = part[b] = min(part[a], part[b])
-    assert len(near) > 10
-    # one of each group stays, and nothing goes that has no relative at all
-    assert all(sum(d in kept for d in order if part[d] == p) <= 1 for p in set(part.values()))
-    gone = set(rows) - kept
-    assert all(any(len(grams[d] & grams[o]) >= 0.65 * len(grams[d] | grams[o]) for o in rows if o != d) for d in gone)
+    assert kept == {c for _, _, c in components_of(sorted(rows.items()))} < rows.keys()
 
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items = [decontam.shingles(decontam.words_of(t)) for _, t in bench]
