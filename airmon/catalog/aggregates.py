@@ -98,6 +98,13 @@ def missing_hours(p: Proxy):
     return agg.missing_hours(p.hours)
 
 
+@query("""SELECT abrv, before + INTERVAL 1 HOUR AS start, datetime - INTERVAL 1 HOUR AS "end", date_diff('hour', before, datetime) - 1 AS hours
+FROM (SELECT abrv, datetime, lag(datetime) OVER (PARTITION BY abrv ORDER BY datetime) AS before FROM (SELECT DISTINCT abrv, datetime FROM p_record))
+WHERE date_diff('hour', before, datetime) > 1""")
+def missing_ranges(p: Proxy):
+    return agg.missing_ranges(p.record)
+
+
 @query(HOURLY_FLUX)
 def hourly_flux_sum(p: Proxy):
     rate = val.sand_flux_rate("sumpc", "sumpc_total", "dwp_mass", "district_mass")

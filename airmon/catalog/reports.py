@@ -15,10 +15,11 @@ from airmon.catalog.registry import query
 from airmon.catalog.reshapes import met_sheet
 from airmon.catalog.sources import teom_sheet
 from airmon.functions import values as val
-from airmon.operators import aggregate as agg, exceedance as exc, quality as qc
-from airmon.plans import agency, flux, history, shoreline, teom, wind
+from airmon.operators import aggregate as agg, daystate as ds, exceedance as exc, quality as qc
+from airmon.plans import agency, flux, history, rolling, shoreline, teom, wind
 from airmon.session import scratch_path
 from airmon.sources import tables
+from airmon.sources.published import Published
 from airmon.sources.snapshot import snapshot
 
 
@@ -73,6 +74,37 @@ def continuity_series(p: Proxy):
     return exc.continuity_series(p.demixed)
 
 
+# ---- day sums kept by batches -------------------------------------------------------------------------
+
+def _rolling(p: Proxy) -> rolling.RollingDays:
+    """All readings in three batches.  The third that wins comes last, so hours of earlier batches are taken back."""
+    days = rolling.RollingDays(Published(p.spark, scratch_path(p.spark, "rolling")), p.sectors)
+    for part in (2, 1, 0):
+        days.add(p.readings.filter(F.col("event_id") % 3 == part))
+    return days
+
+
+@query("""SELECT date, abrv, d.pm10_avg, onlake, offlake, onlake + offlake AS shown, pm10_24, m.n, pm10_onlake, n_onlake, pm10_dunes, n_dunes, pm10_offlake,
+ n_offlake FROM p_daily d JOIN p_contribution c USING (date, abrv) JOIN p_conditional m USING (date, abrv)""")
+def rolling_day_state(p: Proxy):
+    """Daily averages, contributions and conditional means from sums that three batches have changed."""
+    state = _rolling(p).state()
+    return (
+        ds.daily_avg_of(state)
+        .join(ds.contribution_of(state).withColumnRenamed("pm10_avg", "shown"), ["date", "abrv"])
+        .join(ds.conditional_means_of(state), ["date", "abrv"]))
+
+
+@query("""SELECT abrv, CAST(year(date) AS INTEGER) AS year, round(avg(pm10_24), 6) AS avg_pm10, max(pm10_24) AS max_pm10,
+ max(pm10_onlake) AS max_onlake, max(pm10_offlake) AS max_offlake, round(count(*) / 365, 6) AS percent_data
+FROM (SELECT date, abrv, round_even(round(sum(pm10) / count(pm10), 6), 0) AS pm10_24,
+ round_even(round(coalesce(sum(pm10) FILTER (WHERE onlake), 0) / count(pm10), 6), 0) AS pm10_onlake,
+ round_even(round(coalesce(sum(pm10) FILTER (WHERE NOT onlake), 0) / count(pm10), 6), 0) AS pm10_offlake
+ FROM p_classified GROUP BY 1, 2) GROUP BY 1, 2""")
+def rolling_yearly_summary(p: Proxy):
+    return agg.yearly_station_summary(ds.daily_contribution_of(_rolling(p).state()), ["abrv"])
+
+
 # ---- whole reports ----------------------------------------------------------------------------------
 
 JANUARY = ("2024-01-01", "2024-01-31")

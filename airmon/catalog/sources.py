@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dtm
+
 from pyspark.sql import functions as F
 
 from airmon import dims, schemas
 from airmon.catalog.proxy import SITES, Proxy
 from airmon.catalog.registry import query
-from airmon.functions import timecol as tc
-from airmon.operators import reshape
+from airmon.functions import timecol as tc, values as val
+from airmon.operators import reconcile as rec, reshape
 from airmon.plans import shoreline
 from airmon.session import scratch_path
 from airmon.sources import files, sinks, tables
+from airmon.sources.published import Published
 from airmon.sources.snapshot import snapshot
 
 START, END = "2024-01-03", "2024-01-25"
@@ -181,6 +184,30 @@ def snapshot_hours(p: Proxy):
     return snapshot(hours, path, refresh=False)
 
 
+CORRECTED, GONE = ("2024-01-04", "2024-01-11", "2024-01-22"), "2024-01-17"
+IN_CORRECTED = ", ".join(f"DATE '{d}'" for d in CORRECTED)
+READINGS = "event_id long, abrv string, datetime timestamp_ntz, ws double, wd double, pm10 double, onlake_wd boolean, valid boolean"
+
+
+@query(f"""SELECT abrv, datetime, date, ws, wd, CASE WHEN date IN ({IN_CORRECTED}) THEN pm10 + 100 ELSE pm10 END AS pm10, onlake_wd, valid
+FROM p_hours WHERE date <> DATE '{GONE}'""")
+def snapshot_refresh(p: Proxy):
+    """Hours assembled from landed readings, brought up to date after three days were corrected and one was withdrawn."""
+    store = Published(p.spark, scratch_path(p.spark, "store"))
+    rows = p.readings.withColumn("table", F.lit("readings"))
+    every = (dtm.date(2024, 1, 1), dtm.date(2024, 12, 31))
+    store.write(rows, {"readings": every})
+
+    def build(days):
+        return rec.reconcile_hours(store.read("readings", READINGS, days), "event_id").select(*tables.OBS)
+
+    store.refresh("hours", store.state("readings"), build)
+    corrected = rows.filter(F.col("date").isin(list(CORRECTED))).withColumn("pm10", F.col("pm10") + 100)
+    store.write(corrected, {"readings": [dtm.date.fromisoformat(d) for d in (*CORRECTED, GONE)]})
+    store.refresh("hours", store.state("readings"), build)
+    return store.read("hours", "abrv string, datetime timestamp_ntz, ws double, wd double, pm10 double, onlake_wd boolean, valid boolean")
+
+
 # ---- J ---------------------------------------------------------------------------------------------
 
 DAYS = [f"2024-01-{d:02d}" for d in (3, 4, 17, 18, 24, 27)]
@@ -232,3 +259,33 @@ def write_report_tables(p: Proxy):
         .join(table.drop("site"), ["date", "abrv"])
         .select("date", "abrv", "pm10_avg", "no_sites_exceeding", "onlake", "offlake")
     )
+
+
+WITHDRAWN = "2024-01-12"
+
+
+@query(f"""SELECT e.date, e.abrv, e.pm10_avg, n.no_sites_exceeding, c.onlake, c.offlake, c.onlake + c.offlake AS shown, c.preliminary, r.hours
+FROM p_daily e
+JOIN (SELECT date, count(*) AS no_sites_exceeding FROM p_daily WHERE pm10_avg >= 150 GROUP BY 1) n ON n.date = e.date
+JOIN p_contribution c ON c.date = e.date AND c.abrv = e.abrv
+LEFT JOIN (SELECT date, abrv, CAST(count(*) AS BIGINT) AS hours FROM p_classified WHERE wd IS NOT NULL AND pm10 IS NOT NULL GROUP BY 1, 2) r
+ ON r.date = e.date AND r.abrv = e.abrv
+WHERE e.pm10_avg >= 150 AND e.date <> DATE '{WITHDRAWN}'""")
+def publish_report_tables(p: Proxy):
+    """The five report tables published at once, and again after validation has withdrawn one day's exceedances."""
+    store = Published(p.spark, scratch_path(p.spark, "report"))
+    hours = snapshot(p.classified, scratch_path(p.spark, "hours"))
+    every = (dtm.date(2024, 1, 1), dtm.date(2024, 12, 31))
+    shoreline.publish_report(store, hours, p.site, every)
+    lower = F.when(F.col("date") == WITHDRAWN, F.col("pm10") / 1000).otherwise(F.col("pm10"))
+    shoreline.publish_report(store, hours.withColumn("pm10", lower), p.site, every)
+    read = {t: shoreline.read_report(store, t) for t in shoreline.REPORT}
+    site = p.site.select("abrv", val.display_label("deployment").alias("site"))
+    rose = read["roses"].groupBy("date", "abrv").agg(F.sum("hours").alias("hours"))
+    return (
+        read["exceedances"].join(read["sites_per_day"], "date")
+        .join(read["site_table"].join(site, "site").drop("site"), ["date", "abrv"])
+        .join(read["map_labels"].select("date", "abrv", F.col("pm10_avg").alias("shown"), "preliminary"), ["date", "abrv"])
+        .join(rose, ["date", "abrv"], "left")
+        .select("date", "abrv", "pm10_avg", "no_sites_exceeding", "onlake", "offlake", "shown", "preliminary", "hours")
+    )

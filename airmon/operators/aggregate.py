@@ -7,6 +7,7 @@ quiet one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -146,6 +147,31 @@ def missing_hours(df: DataFrame, site: str = "abrv", dt: str = "datetime") -> Da
     ).withColumn("missing", F.timestamp_diff("HOUR", F.col("start"), F.col("end")) - F.col("data_count"))
 
 
+#: Hours, and then buckets, that a bucket of the next level has at most (a power of two), and levels for years 1 to 9999.
+_BUCKET_BITS, _LEVELS = 9, 3
+
+
+def missing_ranges(df: DataFrame, site: str = "abrv", dt: str = "datetime") -> DataFrame:
+    """One row per gap in an hourly record: first and last missing hour, and how many.
+
+    Gaps are looked for inside buckets of 512 hours; a bucket hands on its first and last hour, which meet in buckets of
+    512 buckets, and so on.  So a window has at most 512 rows, however long a site's record is.  Hours before the
+    first and after the last reading are not missing; hours that occur twice count once, NULL times not at all.
+    """
+    origin = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    hour = F.timestamp_diff("HOUR", origin, F.col(dt))
+    items = df.filter(F.col(dt).isNotNull()).select(site, hour.alias("first")).distinct().withColumn("last", F.col("first"))
+    found = []
+    for level in range(1, _LEVELS + 1):
+        items = items.withColumn("bucket", F.shiftright("first", _BUCKET_BITS * level))
+        before = F.lag("last").over(Window.partitionBy(site, "bucket").orderBy("first"))
+        found.append(items.select(site, (before + 1).alias("start"), (F.col("first") - 1).alias("end")).filter("start <= end"))
+        items = items.groupBy(site, "bucket").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("bucket")
+    gaps = reduce(DataFrame.unionByName, found)
+    at = {c: origin + F.make_dt_interval(F.lit(0), F.col(c).cast("int")) for c in ("start", "end")}
+    return gaps.select(site, at["start"].alias("start"), at["end"].alias("end"), (F.col("end") - F.col("start") + 1).alias("hours"))
+
+
 def hourly_flux_sum(df: DataFrame, by: Sequence[str] = (), dt: str = "datetime") -> DataFrame:
     """Sums per hour-ending date and hour.  Hours are grouped as windows, named after the aggregate."""
     hour = F.window(dt, "1 hour", "1 hour", "1 second").alias("_hour")

@@ -104,14 +104,18 @@ def exceed_site_table(breakdown: DataFrame, sites: DataFrame, threshold: float =
     )
 
 
+def label_offset(abrv: str = "abrv") -> Column:
+    """Label offset in metres, above one site and below the others."""
+    return F.when(F.col(abrv) == "LT", 1000).otherwise(-1000)
+
+
 def daily_map_labels(breakdown: DataFrame, sites: DataFrame) -> DataFrame:
     """Position, label value, color and preliminary flag per site-day."""
     return (
         breakdown.join(sites.select("abrv", "deployment", "x", "y"), "abrv", "left")
         .select(
             "date", "abrv", "deployment", "x", "y",
-            # fixed values: label offset in metres, above one site and below the others
-            F.when(F.col("abrv") == "LT", 1000).otherwise(-1000).alias("y_offset"),
+            label_offset().alias("y_offset"),
             "pm10_avg", flag_color("pm10_avg").alias("flag_color"), "preliminary",
         )
     )

@@ -104,15 +104,18 @@ class Published:
         rows = self.spark.read.schema(f"{schema}, date date, commit string").option("basePath", f"{self.path}/data/table={table}")
         return rows.parquet(*folders).drop("commit")
 
-    def write(self, rows: DataFrame, covers: Days | Mapping[str, Days], digests: Mapping[dtm.date, str] | None = None) -> int:
+    def write(self, rows: DataFrame, covers: Days | Mapping[str, Days], digests: Mapping[dtm.date, str] | None = None,
+              dealt: bool = False) -> int:
         """Replace the covered days of some tables by ``rows`` (table, date, ...) and return the new version.
 
         ``covers`` is a set of days or a (first, last) pair, for each table or, where it is not a mapping, for all tables
         that are stored or have rows.  Rows of other days are an error.  Days with a digest keep an entry without rows.
+        ``dealt`` rows lie in tasks by day already, so they are written as they are.
         """
         version, old = self.version(), self.entries()
         commit = uuid.uuid4().hex
-        rows.withColumn("commit", F.lit(commit)).hint("rebalance", "table", "date").write.mode("append").partitionBy(
+        rows = rows.withColumn("commit", F.lit(commit))
+        (rows if dealt else rows.hint("rebalance", "table", "date")).write.mode("append").partitionBy(
             "table", "date", "commit").parquet(f"{self.path}/data")
         written = self._written(commit)
         tables = set(covers) if isinstance(covers, Mapping) else {t for t, _ in old} | {t for t, _ in written}
