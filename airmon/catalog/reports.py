@@ -13,7 +13,7 @@ from airmon.catalog.joins import NEIGHBOUR_SQL
 from airmon.catalog.proxy import Proxy, conditional_means, exceeding_only, in_sector
 from airmon.catalog.registry import query
 from airmon.catalog.reshapes import met_sheet
-from airmon.catalog.sources import teom_sheet
+from airmon.catalog.sources import land_responses, teom_sheet
 from airmon.functions import values as val
 from airmon.operators import aggregate as agg, daystate as ds, exceedance as exc, quality as qc
 from airmon.plans import agency, flux, history, rolling, shoreline, teom, wind
@@ -69,6 +69,15 @@ def daily_map_labels(p: Proxy):
     return exc.daily_map_labels(exc.site_day_breakdown(p.classified), p.site)
 
 
+@query("""SELECT abrv, CAST(1 AS INTEGER) AS level, TIMESTAMP '0001-01-01 00:00:00' + CAST(b * 64 AS INTEGER) * INTERVAL 1 HOUR AS start,
+ arg_min(pm10, datetime) AS first, arg_max(pm10, datetime) AS last, min(pm10) AS low, max(pm10) AS high, count(*) AS n,
+ min(datetime) AS from_time, max(datetime) AS to_time
+FROM (SELECT *, date_diff('hour', TIMESTAMP '0001-01-01 00:00:00', datetime) // 64 AS b FROM p_demixed) GROUP BY 1, b""")
+def continuity_pyramid(p: Proxy):
+    """The second level of the pyramid: 64 hours in a row."""
+    return exc.continuity_pyramid(p.demixed).filter("level = 1")
+
+
 @query("SELECT abrv, datetime, pm10 AS value FROM p_demixed ORDER BY abrv, datetime")
 def continuity_series(p: Proxy):
     return exc.continuity_series(p.demixed)
@@ -283,3 +292,87 @@ def station_exceed_days(p: Proxy):
     other = p.hours.groupBy("date", "abrv").agg(F.max("pm10").alias("pm10_24"))
     groups = dims.local_table(p.spark, {"site_group": ["near", "near", "far", "far"], "abrv": ["KE", "OL", "DS", "OL"]})
     return agency.exceed_days(agency.daily_with_tail(mine, other, ("KE",)), groups)
+
+
+CUTOVER = dtm.date(2024, 1, 16)
+SPLICED_SQL = f"""WITH n AS ({NEIGHBOUR_SQL}),
+w AS (SELECT n.abrv, n.datetime, n.pm10, coalesce(n.ws, m.ws_10m) AS ws, coalesce(n.wd, m.wd_10m) AS wd FROM n
+ LEFT JOIN p_met m ON n.abrv IN ('MS', 'KE') AND m.deployment = 'Lone Pine' AND m.datetime = n.datetime AND year(m.datetime) = 2024)
+SELECT abrv, datetime, pm10, ws, wd FROM w WHERE datetime <= TIMESTAMP '2024-01-16 00:00:00'
+UNION ALL SELECT abrv, datetime, pm10, ws, wd FROM p_demixed WHERE datetime > TIMESTAMP '2024-01-16 00:00:00'"""
+
+
+def _spliced(p: Proxy):
+    station = tables.read_met_hourly(p.met_table, p.deployments, sites=["Lone Pine"])
+    book = history.workbook_hours(teom_sheet(p), met_sheet(p), station, start_year=2012, reference_year=2024)
+    return history.spliced_hours(book, p.demixed, p.site, CUTOVER)
+
+
+@query(f"SELECT s.*, deployment, x, y FROM ({SPLICED_SQL}) s JOIN p_site USING (abrv)")
+def workbook_live_hours(p: Proxy):
+    """Gap-filled workbook hours until a day, live hours from then on, with the sites' places."""
+    return _spliced(p)
+
+
+@query(f"""SELECT date, abrv, pm10_24, pm10_onlake, pm10_offlake, n,
+ CASE WHEN pm10_offlake >= 150 AND pm10_onlake < 150 THEN 'offlake' WHEN pm10_onlake >= 150 AND pm10_offlake < 150 THEN 'onlake'
+ ELSE 'mixed' END AS class FROM (
+WITH r AS ({SPLICED_SQL}),
+h AS (SELECT r.*, CAST(datetime - INTERVAL 1 SECOND AS DATE) AS date, {in_sector("wd", "from_deg", "to_deg")} AS onlake,
+ wd BETWEEN 296 AND 337 AND r.abrv = 'KE' AS dunes FROM r JOIN p_site s ON s.abrv = r.abrv),
+c AS ({conditional_means("h")}), e AS ({exceeding_only("c")})
+SELECT date, abrv, {BACKFILL_SQL} FROM e)""")
+def workbook_live_exceedances(p: Proxy):
+    """Classified exceedances over the splice of workbook and live hours."""
+    return history.attributed_days(_spliced(p), p.sectors).select(
+        "date", "abrv", "pm10_24", "pm10_onlake", "pm10_offlake", "n", "class")
+
+
+AGENCY_DAYS_SQL = """SELECT date_utc AS date, abrv, min(value) FILTER (WHERE code = 81102) AS pm10, min(value) FILTER (WHERE code = 61101) AS ws_s,
+ min(value) FILTER (WHERE code = 61102) AS wd_s, min(value) FILTER (WHERE code = 61103) AS ws_r, min(value) FILTER (WHERE code = 61104) AS wd_r
+FROM p_measurement WHERE site_num <> '0099' AND date_utc BETWEEN DATE '2024-01-01' AND DATE '2024-01-28' GROUP BY 1, 2"""
+
+
+def _agency_daily(p: Proxy):
+    return p.measurement.select("site_num", F.col("date_utc").alias("date"), "code", "desc", "value", "units")
+
+
+@query(AGENCY_DAYS_SQL)
+def agency_daily(p: Proxy):
+    """The agency's daily values, a column for each parameter."""
+    return agency.agency_days(_agency_daily(p), "2024-01-01", "2024-01-28")
+
+
+@query(f"""SELECT *, CAST(year(date) AS INTEGER) AS year, CASE WHEN pm10_24 > 150 THEN 'red' WHEN pm10_24 <= 150 THEN 'black' END AS flag_color FROM (
+WITH mine AS (SELECT date, abrv, round_even(round(avg(pm10), 6), 0) AS pm10_24 FROM p_demixed WHERE date <= DATE '2024-01-20' GROUP BY 1, 2)
+SELECT * FROM mine UNION ALL
+SELECT date, abrv, pm10 AS pm10_24 FROM ({AGENCY_DAYS_SQL}) a WHERE abrv IN ('KE', 'SC') AND pm10 IS NOT NULL
+ AND date > coalesce((SELECT max(date) FROM mine WHERE mine.abrv = a.abrv), DATE '0001-01-01'))""")
+def agency_daily_chain(p: Proxy):
+    """Computed daily means until a day, continued at two sites by the agency's daily values."""
+    hours = p.demixed.filter(F.col("date") <= F.lit("2024-01-20").cast("date"))
+    return agency.daily_chain(hours, _agency_daily(p), "2024-01-01", "2024-01-28", ("KE", "SC"))
+
+
+@query("""SELECT site_num, CAST(code AS VARCHAR) AS parameter_code, min(t) AS start, max(t) AS "end" FROM (
+SELECT *, datetime_utc AT TIME ZONE 'UTC' AT TIME ZONE 'America/Los_Angeles' AS t FROM p_measurement WHERE site_num <> '0099') GROUP BY 1, 2""")
+def response_coverage(p: Proxy):
+    """Coverage of landed responses by site and parameter, from the files on."""
+    return agency.response_coverage(p.spark, land_responses(p), list(dims.AGENCY_SITES.values()))
+
+
+def _wind_flag(field: int) -> str:
+    return f"""EXISTS (SELECT 1 FROM p_flag f WHERE f.deployment_id = m.deployment_id AND f.field_id = {field}
+ AND m.datetime > f.start_datetime AND m.datetime <= f.end_datetime)"""
+
+
+@query(f"""SELECT h.deployment, h.datetime, h.date, h.pm10, m.ws_10m AS ws, m.wd_10m AS wd, {_wind_flag(116)} AS invalid_ws, {_wind_flag(117)} AS invalid_wd
+FROM (SELECT s.deployment, r.datetime, r.date, r.pm10 FROM p_source r JOIN p_site s ON s.abrv = r.abrv WHERE valid AND r.abrv IN ('KE', 'OL', 'SC')
+ AND date BETWEEN DATE '2024-01-04' AND DATE '2024-01-26') h
+JOIN p_met m ON m.deployment = h.deployment AND m.datetime = h.datetime""")
+def teom_flagged_wind(p: Proxy):
+    """Validated dust hours of three sites with their wind, its speed and direction looked up in the flags."""
+    dust = p.source(True).withColumn("deployment", val.lookup("abrv", dims.DEPLOYMENTS))
+    analog = p.met_table.withColumnsRenamed({"ws_10m": "ws_wvc", "wd_10m": "wd_wvc"})
+    names = [dims.DEPLOYMENTS[s] for s in ("KE", "OL", "SC")]
+    return teom.flagged_wind_hours(dust, analog, p.deployments, p.flags, "2024-01-04", "2024-01-26", names, bucket_hours=1)

@@ -6,7 +6,9 @@ the rounded mean (>=), and the red label the rounded value (>).
 
 from __future__ import annotations
 
+import datetime as dtm
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -122,4 +124,44 @@ def daily_map_labels(breakdown: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def continuity_series(df: DataFrame, value: str = "pm10") -> DataFrame:
-    return df.select("abrv", "datetime", F.col(value).alias("value")).orderBy("abrv", "datetime")
+    """The readings of every site over time; whoever draws or writes them puts them in order."""
+    return df.select("abrv", "datetime", F.col(value).alias("value"))
+
+
+#: Hours in a bucket of the lowest level, and how many buckets of a level make one of the next.
+_PYRAMID_HOURS, _PYRAMID_FAN = 8, 8
+PYRAMID = "abrv string, level int, start timestamp_ntz, first double, last double, low double, high double, n long, from_time timestamp_ntz, to_time timestamp_ntz"
+
+
+def continuity_pyramid(df: DataFrame, value: str = "pm10", levels: int = 6) -> DataFrame:
+    """First, last, least and greatest reading of each site by time bucket, at ``levels`` widths of 8, 64, 512, ... hours.
+
+    A level is made from the one below, so readings are summed up once, in the map tasks.  ``n`` readings lie between
+    ``from_time`` and ``to_time``; hours without a reading or time are not in it, and buckets without any have no row.  Of
+    readings at one time the least is the first and the greatest the last.
+    """
+    origin = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
+    hour = F.timestamp_diff("HOUR", origin, F.col("datetime"))
+    read = df.filter(F.col("datetime").isNotNull() & F.col(value).isNotNull())
+    at, v = F.col("datetime"), F.col(value)
+    now = read.groupBy("abrv", F.floor(hour / _PYRAMID_HOURS).alias("bucket")).agg(
+        F.min(F.struct(at, v)).alias("a"), F.max(F.struct(at, v)).alias("b"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n"))
+    now = now.select("abrv", "bucket", F.col(f"a.{value}").alias("first"), F.col(f"b.{value}").alias("last"), "low", "high", "n",
+                     F.col("a.datetime").alias("from_time"), F.col("b.datetime").alias("to_time"))
+    out, width = [], _PYRAMID_HOURS
+    for level in range(levels):
+        start = origin + F.make_dt_interval(F.lit(0), (F.col("bucket") * width).cast("int"))
+        out.append(now.select("abrv", F.lit(level).alias("level"), start.alias("start"), *now.columns[2:]))
+        now = now.groupBy("abrv", F.floor(F.col("bucket") / _PYRAMID_FAN).alias("bucket")).agg(
+            F.min_by("first", "from_time").alias("first"), F.max_by("last", "to_time").alias("last"), F.min("low").alias("low"),
+            F.max("high").alias("high"), F.sum("n").alias("n"), F.min("from_time").alias("from_time"), F.max("to_time").alias("to_time"))
+        width *= _PYRAMID_FAN
+    return reduce(DataFrame.unionByName, out)
+
+
+def continuity_view(pyramid: DataFrame, start: dtm.datetime, end: dtm.datetime, points: int = 2000, levels: int = 6) -> DataFrame:
+    """What to draw of a period: buckets of the finest level that has at most ``points`` of them per site in it."""
+    hours = (end - start).total_seconds() / 3600
+    fits = (k for k in range(levels) if hours / (_PYRAMID_HOURS * _PYRAMID_FAN**k) + 1 <= points)
+    level = next(fits, levels - 1)
+    return pyramid.filter((F.col("level") == level) & (F.col("to_time") >= F.lit(start)) & (F.col("from_time") <= F.lit(end)))

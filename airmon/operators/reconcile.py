@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dtm
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from airmon.dims import GAP_FILL_PAIRS, REFERENCE_TARGETS
 from airmon.functions import timecol as tc
@@ -98,16 +98,21 @@ def override_direction(df: DataFrame, overrides: DataFrame, keys: Sequence[str]
 def gap_fill_from_neighbour(df: DataFrame, pairs: Sequence[tuple[str, str]] = GAP_FILL_PAIRS) -> DataFrame:
     """Where a site has no direction, take wind from its neighbour at the same hour.
 
-    Pairs apply in order and a filled hour can feed a later pair.  One exchange serves all pairs: the
-    involved sites of an hour are put side by side and the chain is evaluated as column expressions.
-    Expects one row per site-hour, so a window group has one row per site.
+    Pairs apply in order and a filled hour can feed a later pair.  Only gaps move, and of the sites that pairs
+    name only the hours with a gap; everything else is passed by.  A gap meets its hour's involved sites side by
+    side, where the chain is evaluated as column expressions.  Expects one row per site-hour.  ``df`` is read for what
+    is passed by, for gaps and for donors: give stored rows when it is costly.
     """
-    hour = Window.partitionBy("datetime")
     involved = sorted({s for p in pairs for s in p})
-    peers = {f"_has_{s}": F.max(F.col("abrv") == s).over(hour) for s in involved}
-    for s in involved:
-        for v in ("ws", "wd"):
-            peers[f"_{v}_{s}"] = F.max(F.when(F.col("abrv") == s, F.col(v))).over(hour)
+    targets = list(dict.fromkeys(t for t, _ in pairs))
+    # plain conditions, so that a scan takes them
+    is_gap = F.col("abrv").isin(targets) & F.col("wd").isNull() & F.col("datetime").isNotNull()
+    gaps = df.filter(is_gap)
+    near = df.filter(F.col("abrv").isin(involved)).select("abrv", "datetime", "ws", "wd").join(
+        gaps.select("datetime").distinct(), "datetime", "left_semi")
+    peers = near.groupBy("datetime").agg(*(
+        x for s in involved for own in [F.col("abrv") == s]
+        for x in (F.max(own).alias(f"_has_{s}"), F.max(F.when(own, F.col("ws"))).alias(f"_ws_{s}"), F.max(F.when(own, F.col("wd"))).alias(f"_wd_{s}"))))
 
     now = {s: (F.col(f"_ws_{s}"), F.col(f"_wd_{s}")) for s in involved}
     for target, donor in pairs:
@@ -118,14 +123,15 @@ def gap_fill_from_neighbour(df: DataFrame, pairs: Sequence[tuple[str, str]] = GA
             F.when(gap, now[donor][1]).otherwise(wd),
         )
 
-    def pick(v: str, i: int) -> Column:
-        out = F.col(v)
-        for t in dict.fromkeys(t for t, _ in pairs):
+    def pick(i: int) -> Column:
+        out = F.lit(None).cast("double")
+        for t in targets:
             out = F.when(F.col("abrv") == t, now[t][i]).otherwise(out)
-        return out.alias(v)
+        return out
 
-    new = {"ws": pick("ws", 0), "wd": pick("wd", 1)}
-    return df.withColumns(peers).select(*[new.get(c, F.col(c)) for c in df.columns])
+    new = {"ws": pick(0).alias("ws"), "wd": pick(1).alias("wd")}
+    filled = gaps.join(peers, "datetime").select(*[new.get(c, F.col(c)) for c in df.columns])
+    return df.filter(~F.coalesce(is_gap, F.lit(False))).unionByName(filled)
 
 
 def gap_fill_from_reference(

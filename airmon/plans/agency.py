@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dtm
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from airmon.dims import AGENCY_SITES, DUST_BREAKS_LOW, STANDARD
 from airmon.functions import timecol as tc
-from airmon.functions.values import flag_color, knots_to_mps
+from airmon.functions.values import flag_color, knots_to_mps, site_code
 from airmon.operators import aggregate as agg, direction, quality as qc, reconcile as rec, reshape
-from airmon.sources.files import agency_long
+from airmon.sources.files import agency_long, read_aqs_json
 
 WIND_PM = ("datetime", "abrv", "date", "ws", "wd", "pm10")
 
@@ -58,6 +59,25 @@ def station_report(hours: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def agency_days(stacked_daily: DataFrame, start, end) -> DataFrame:
+    """The agency's own daily values (date, abrv, pm10, ws_s, wd_s, ws_r, wd_r), always with all columns.
+
+    Of several values of a parameter for a site-day the lowest counts.  Unknown sites go.
+    """
+    rows = stacked_daily.filter(
+        F.col("date").between(F.lit(tc.as_date(start)), F.lit(tc.as_date(end))) & F.col("site_num").isin(list(AGENCY_SITES.values())))
+    named = rows.withColumns({"abrv": site_code("site_num", AGENCY_SITES), "_pick": F.col("value")})
+    return reshape.pivot_parameters(named, ["date", "abrv"], "_pick")
+
+
+def daily_chain(hours: DataFrame, stacked_daily: DataFrame, start, end, sites: tuple[str, ...]) -> DataFrame:
+    """(date, abrv, pm10_24, year, flag_color): computed daily means, for ``sites`` continued by the agency's daily values."""
+    daily = agg.avg_pm10(hours).select("date", "abrv", F.col("avg_pm10").alias("pm10_24"))
+    days = agency_days(stacked_daily, start, end).filter(F.col("pm10").isNotNull()).select("date", "abrv", F.col("pm10").alias("pm10_24"))
+    tail = rec.after_last_of(days.filter(F.col("abrv").isin(list(sites))), daily, site="abrv")
+    return daily.unionByName(tail.select(*daily.columns)).withColumns({"year": F.year("date"), "flag_color": flag_color("pm10_24")})
+
+
 def daily_with_tail(daily: DataFrame, agency_daily: DataFrame, sites: tuple[str, ...]) -> DataFrame:
     """Computed daily means, continued for ``sites`` by the agency's after their own last day."""
     mine = daily.filter(F.col("abrv").isin(list(sites)))
@@ -68,3 +88,8 @@ def daily_with_tail(daily: DataFrame, agency_daily: DataFrame, sites: tuple[str,
 def exceed_days(daily: DataFrame, groups: DataFrame, value: str = "pm10_24", threshold: float = STANDARD) -> DataFrame:
     """(site_group, date): days on which any site of a group reaches the threshold; ``groups`` is (site_group, abrv)."""
     return daily.filter(F.col(value) >= threshold).join(groups, "abrv").select("site_group", "date").distinct()
+
+
+def response_coverage(spark: SparkSession, path: str | list[str], sites: Sequence[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """First and last local hour of every site and parameter in landed API responses."""
+    return agg.coverage_by_parameter(read_aqs_json(spark, path, sites, multi_line), ("site_num", "parameter_code"))
