@@ -52,19 +52,41 @@ VOTES = 6
 ROUNDS = 60
 
 
-def running_sum(lengths: Column) -> Column:
-    """Inclusive running sums of an array, in blocks of about the square root of its length."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
+def running(values: Column, start: Column, op) -> Column:
+    """Inclusive running totals of an array under an associative ``op``, in blocks of about the square root of its length."""
     def blocks(a: Column) -> Column:
+        total = lambda x: F.aggregate(x, start, op)
         return let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda w: let(
             F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / w).cast("int") - 1), lambda b: total(F.slice(a, b * w + 1, w))),
             lambda sums: let(
                 F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))),
-                lambda base: F.transform(a, lambda _, i: F.get(base, (i / w).cast("int"))
-                                         + total(F.slice(a, (i / w).cast("int") * w + 1, i % w + 1))))))
+                lambda base: F.transform(a, lambda _, i: op(
+                    F.get(base, (i / w).cast("int")), total(F.slice(a, (i / w).cast("int") * w + 1, i % w + 1)))))))
+
+    return F.when(F.size(values) > 0, let(values, blocks)).otherwise(values)
+
+
+def running_sum(lengths: Column) -> Column:
+    """Inclusive running sums of an array."""
+    return running(lengths, F.lit(0), lambda s, x: s + x)
+
+
+#: Code points in a block of a text.
+BLOCK = 4096
 
-    return F.when(F.size(lengths) > 0, let(lengths, blocks)).otherwise(lengths)
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, so that a part of it is found without reading from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in blocks."""
+    a, b = (start / BLOCK).cast("int"), ((end - 1) / BLOCK).cast("int")
+    one = F.substring(F.get(blocks, a), start % BLOCK + 1, end - start)
+    more = F.concat(F.substring(F.get(blocks, a), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, a + 2, b - a - 1), ""),
+                    F.substring(F.get(blocks, b), F.lit(1), end - b * BLOCK))
+    return F.when(end <= start, "").when(a == b, one).otherwise(more)
 
 
 def matches(text: Column, pattern: str, kind: int) -> Column:
@@ -115,18 +137,38 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def before_end(ends: Column, sorted_starts: Column) -> Column:
+    """How many of some sorted numbers lie below ``ends``, by halving."""
+    def halve(r: Column, _: Column) -> Column:
+        mid = ((r["lo"] + r["hi"]) / 2).cast("int")
+        low = F.get(sorted_starts, mid) < ends
+        return F.when(r["lo"] >= r["hi"], r).otherwise(F.struct(
+            F.when(low, mid + 1).otherwise(r["lo"]).alias("lo"), F.when(low, r["hi"]).otherwise(mid).alias("hi")))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(sorted_starts) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(sorted_starts).alias("hi")), halve)["lo"]
 
 
-def candidates(text: Column, base: Column) -> Column:
+def untouched(spans: Column, base: Column) -> Column:
+    """The ``spans`` that overlap none of ``base``, which is sorted by start and of each kind disjoint."""
+    def of_kind(kind: int) -> Column:
+        own = F.filter(base, lambda b: b["kind"] == kind)
+        return let(F.struct(F.transform(own, lambda b: b["start"]).alias("starts"), F.transform(own, lambda b: b["end"]).alias("ends")),
+                   lambda t: F.filter(spans, lambda s: F.coalesce(
+                       F.get(t["ends"], before_end(s["end"], t["starts"]) - 1) <= s["start"], F.lit(True))))
+
+    for kind in range(len(KINDS)):
+        spans = F.when(F.size(base) > 0, of_kind(kind)).otherwise(spans)
+    return spans
+
+
+def candidates(text: Column, blocks: Column, base: Column) -> Column:
     """Base spans, marked so, and the wider matches that touch none of them."""
     mark = lambda s, is_base: F.struct(
         s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.lit(is_base).alias("base"),
-        F.lower(F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))).alias("before"),
-        F.substring(text, s["end"] + 1, F.lit(1)).alias("after"))
-    wide = F.concat(*(matches(text, p, k) for k, p in enumerate(WIDER)))
-    wide = F.filter(wide, lambda s: ~overlaps(s, base))
+        F.lower(cut(blocks, F.greatest(s["start"] - 24, F.lit(0)), s["start"])).alias("before"),
+        F.coalesce(cut(blocks, s["end"], s["end"] + 1), F.lit("")).alias("after"))
+    wide = F.concat(*(let(matches(text, p, k), lambda m: untouched(m, base)) for k, p in enumerate(WIDER)))
     return F.concat(F.transform(base, lambda s: mark(s, True)), F.transform(wide, lambda s: mark(s, False)))
 
 
@@ -206,8 +248,8 @@ def learn(docs: DataFrame) -> Classifier:
     thousand rows however many documents there are.
     """
     text = F.coalesce("text", F.lit(""))
-    c = docs.select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    c = c.select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
+    c = docs.select(text.alias("text")).withColumns({"base": base_spans(F.col("text")), "blocks": blocks_of(F.col("text"))})
+    c = c.select(F.explode(candidates(F.col("text"), F.col("blocks"), F.col("base"))).alias("c"))
     c = c.select(F.col("c.kind").alias("kind"), votes(F.col("c")).alias("votes"), features(F.col("c")).alias("f"))
     c = c.select("kind", "votes", F.posexplode("f").alias("i", "value"))
     rows = c.groupBy("kind", "votes", "i", "value").agg(F.count("*").alias("n")).collect()
@@ -233,10 +275,11 @@ def learn(docs: DataFrame) -> Classifier:
 
 
 def with_spans(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` packed as r, with _text, _base and _all (sorted spans of array<struct<start, kind, end, value>>)."""
+    """``docs`` packed as r, with _text, _blocks, _base and _all (sorted spans of array<struct<start, kind, end, value>>)."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"))
-    rows = rows.withColumn("_text", F.coalesce("r.text", F.lit(""))).withColumn("_base", base_spans(F.col("_text")))
-    added = F.filter(candidates(F.col("_text"), F.col("_base")), lambda c: ~c["base"] & model.accepts(c))
+    rows = rows.withColumn("_text", F.coalesce("r.text", F.lit("")))
+    rows = rows.withColumns({"_base": base_spans(F.col("_text")), "_blocks": blocks_of(F.col("_text"))})
+    added = F.filter(candidates(F.col("_text"), F.col("_blocks"), F.col("_base")), lambda c: ~c["base"] & model.accepts(c))
     plain = F.transform(added, lambda c: F.struct(
         c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
     return rows.withColumn("_all", F.array_sort(F.concat("_base", plain)))
@@ -269,17 +312,19 @@ def redact(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, named after the first.  Null texts stay null, all columns and rows stay.
     """
     rows = with_spans(docs, learn(docs))
-    first = F.expr("""aggregate(_all, cast(array() as array<struct<start:int,kind:int,end:int>>), (done, s) ->
-        if(size(done) > 0 and s.start < element_at(done, -1).end,
-           if(s.end > element_at(done, -1).end,
-              concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start,
-                     'kind', element_at(done, -1).kind, 'end', s.end))), done),
-           concat(done, array(named_struct('start', s.start, 'kind', s.kind, 'end', s.end)))))""")
     names = F.array(*map(F.lit, KINDS))
-    clean = let(first, lambda m: F.concat(F.concat_ws("", F.transform(m, lambda s, i: F.concat(
-        let(F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0), lambda p: F.substring(F.col("_text"), p + 1, s["start"] - p)),
-        F.concat(F.lit("<"), F.upper(F.get(names, s["kind"])), F.lit(">"))))),
-        F.substring(F.col("_text"), F.element_at(m, -1)["end"] + 1, F.char_length("_text"))))
+
+    def pieces(reach: Column) -> Column:
+        """The text between runs of overlapping spans, and the name of each run's first span."""
+        each = F.sequence(F.lit(0), F.size("_all") - 1)
+        opens = F.filter(each, lambda i: (i == 0) | (F.get(F.col("_all"), i)["start"] >= F.get(reach, i - 1)))
+        return let(opens, lambda o: F.concat(F.array_join(F.transform(o, lambda i, k: F.concat(
+            cut(F.col("_blocks"), F.when(k > 0, F.get(reach, i - 1)).otherwise(0), F.get(F.col("_all"), i)["start"]),
+            F.lit("<"), F.upper(F.get(names, F.get(F.col("_all"), i)["kind"])), F.lit(">"))), ""),
+            cut(F.col("_blocks"), F.element_at(reach, -1), F.char_length("_text"))))
+
+    ends = F.transform("_all", lambda s: s["end"])
+    clean = let(running(ends, F.lit(0), lambda a, b: F.greatest(a, b)), pieces)
     text = F.when(F.size("_all") > 0, clean).otherwise(F.col("r.text"))
     out = rows.select("r", text.alias("_clean"), (F.size("_all") > 0).alias("_changed"))
     value = {"text": F.col("_clean"), "n_chars": F.when(F.col("_changed"), F.char_length("_clean").cast("long")).otherwise(F.col("r.n_chars"))} \

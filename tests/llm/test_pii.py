@@ -102,6 +102,45 @@ def test_redaction(spark):
     assert got.text == "é mail <EMAIL>, card <CARD> at <IP> or <PHONE> end" and got.n_chars == len(got.text)
 
 
+def test_one_text_with_very_many_addresses(spark):
+    n = 50_000
+    text = " ".join(f"mail{i}@host{i % 97}.com" for i in range(n))
+    docs = documents(spark, [text, "a (at) b.com"])
+    out = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert out[0].n_email == n and out[0].spans.count("email:") == n
+    got = pii.redact(docs).where("doc_id = 0").first()
+    assert got.text == " ".join(["<EMAIL>"] * n) and got.n_chars == len(got.text)
+
+
+def test_parts_of_a_text_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 5)
+    text = "aé\U0001F600\nbcdefghijklmnopqrstuv"
+    df = spark.createDataFrame([(text,)], "text string").withColumn("b", pii.blocks_of(F.col("text")))
+    for a in range(len(text) + 1):
+        ends = range(a, len(text) + 1)
+        got = df.select(*(pii.cut(F.col("b"), F.lit(a), F.lit(e)).alias(f"e{e}") for e in ends)).first()
+        assert list(got) == [text[a:e] for e in ends]
+
+
+def test_untouched_by_brute_force(spark):
+    rng = random.Random(4)
+    span = "array<struct<start:int,kind:int,end:int,value:string>>"
+    rows, want = [], []
+    for _ in range(60):
+        base = []
+        for kind in range(4):
+            at = 0
+            while (at := at + rng.randint(1, 30)) < 200:
+                base.append((at, kind, at := at + rng.randint(1, 20), ""))
+        base = sorted(base[: rng.choice([0, 3, 99])])
+        wide = [(a, 0, a + rng.randint(1, 9), "") for a in sorted(rng.sample(range(220), 20))]
+        rows.append((base, wide))
+        want.append([w for w in wide if not any(b[0] < w[2] and w[0] < b[2] for b in base)])
+    df = spark.createDataFrame(rows, f"base {span}, wide {span}").coalesce(1)
+    got = [[tuple(s) for s in r.x] for r in df.select(pii.untouched(F.col("wide"), F.col("base")).alias("x")).collect()]
+    assert got == want
+
+
 def test_running_sum(spark):
     for n in (0, 1, 2, 5, 16, 101):
         a = F.array(*(F.lit(i % 7) for i in range(n))).cast("array<int>")
