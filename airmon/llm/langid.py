@@ -21,8 +21,6 @@ from airmon.llm.base import fold
 #: characters of each (32,768 in all), in pieces spread over the whole text.  It bounds the automata; predictions
 #: read whole texts.
 SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 64, 512, 4
-#: Held-out documents from which a language has a reject limit of its own.
-LEAST_HELD = 8
 #: Characters parsed side by side are taken from blocks of this length; every language gets the same cuts.
 BLOCK = 2048
 #: Blocks parsed at a time by a task.
@@ -206,7 +204,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def usual_bits(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> dict[str, float]:
     """Language to the median bits a character of its held-out sample, at the phrase cost of the longest training text.
 
-    Languages of fewer than LEAST_HELD held-out documents have the median over the languages that have more.
+    Languages without any held-out document have the median over those that have some.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(learned)
@@ -220,7 +218,7 @@ def usual_bits(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> dict[st
     if not learned:
         return {}
     rows = sampled(docs, True).select("lang", "part").mapInArrow(run, "lang string, bits double").where("bits IS NOT NULL")
-    found = rows.groupBy("lang").agg(F.expr("percentile(bits, 0.5)").alias("bits"), F.count("*").alias("n")).where(F.col("n") >= LEAST_HELD)
+    found = rows.groupBy("lang").agg(F.expr("percentile(bits, 0.5)").alias("bits"))
     own = {r.lang: r.bits for r in found.collect()}
     return {lang: own.get(lang, float(np.median(list(own.values())))) for lang, _ in learned} if own else {}
 
@@ -230,8 +228,9 @@ def keep_identified(docs: DataFrame, slack: float = 2.0) -> DataFrame:
 
     A text may cost ``slack`` times the usual bits a character of its language, and two phrases more, which matters
     for short ones; never as much as phrases of 1.2 characters.  Phrases cost the same in all languages here, those
-    of the longest training text, so that one with little training text is not cheaper.  A language with too few
-    held-out documents has the limit of the others; where none has enough, only ``und`` goes.  All columns are kept.
+    of the longest training text, so that one with little training text is not cheaper.  A language without held-out
+    documents has the limit of the others; where no language has any, only that of the phrases holds.  Repeated rows all
+    stay or all go, an empty table stays empty, all columns are kept.
     """
     learned = tuple(training_text(docs).items())
     usual = usual_bits(docs, learned)
@@ -244,8 +243,8 @@ def keep_identified(docs: DataFrame, slack: float = 2.0) -> DataFrame:
             keep = []
             for t, (lang, _, bits) in zip(texts, judge(texts, learned)):
                 good = lang != "und"
-                if good and usual:
-                    limit = min(slack * usual[lang], most / 1.2)
+                if good:
+                    limit = min(slack * usual.get(lang, most), most / 1.2)
                     cost = bits * most / phrase[lang]
                     good = cost <= limit or (cost - limit) * len(normal(t)) <= 2 * most
                 keep.append(good)

@@ -13,6 +13,7 @@ Every array function here works inside one row, so nothing is shuffled but the c
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -149,17 +150,21 @@ def before_end(ends: Column, sorted_starts: Column) -> Column:
     return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(sorted_starts).alias("hi")), halve)["lo"]
 
 
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def untouched(spans: Column, base: Column) -> Column:
     """The ``spans`` that overlap none of ``base``, which is sorted by start and of each kind disjoint."""
-    def of_kind(kind: int) -> Column:
-        own = F.filter(base, lambda b: b["kind"] == kind)
-        return let(F.struct(F.transform(own, lambda b: b["start"]).alias("starts"), F.transform(own, lambda b: b["end"]).alias("ends")),
-                   lambda t: F.filter(spans, lambda s: F.coalesce(
-                       F.get(t["ends"], before_end(s["end"], t["starts"]) - 1) <= s["start"], F.lit(True))))
-
-    for kind in range(len(KINDS)):
-        spans = F.when(F.size(base) > 0, of_kind(kind)).otherwise(spans)
-    return spans
+    def ends(sorted_base: Column) -> Column:
+        own = [F.filter(sorted_base, _of_kind(k)) for k in range(len(KINDS))]
+        return F.array(*(let(x, lambda o: F.struct(
+            F.transform(o, lambda b: b["start"]).alias("starts"), F.transform(o, lambda b: b["end"]).alias("ends"))) for x in own))
+
+    def free(s: Column, kind: Column) -> Column:
+        return F.coalesce(F.get(kind["ends"], before_end(s["end"], kind["starts"]) - 1) <= s["start"], F.lit(True))
+
+    return let(let(base, ends), lambda kinds: F.filter(spans, lambda s: F.forall(kinds, lambda k: free(s, k))))
 
 
 def candidates(text: Column, blocks: Column, base: Column) -> Column:

@@ -136,12 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = known.count()
     part = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / max(1, n))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(texts.join(F.broadcast(part), "doc_id"), "labelled")
-    learned = learned_words(rows)
+    # the third that calibrates teaches neither words nor trees, or the margins it sees would be too good
+    third = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
+    rows = written(texts.join(F.broadcast(part), "doc_id").withColumn("part", third), "labelled")
+    learned = learned_words(rows.where("part > 0"))
     rate = float(rows.agg(F.avg("label")).first()[0] or 0.0)
     if rate in (0.0, 1.0):
         return Model(learned, rate)
-    data = written(with_features(rows, learned).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))), "features")
+    data = written(with_features(rows, learned), "features")
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     train = assembler.transform(data.where("part > 0")).select("features", "label")
     if train.agg(F.countDistinct("label")).first()[0] < 2:
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=42, minInstancesPerNode=5).fit(train)
     model = PipelineModel([assembler, trees])
     held = margin(model, data.where("part = 0")).select("margin", "label")
-    if held.count() < 50:
+    if held.isEmpty():
         return Model(learned, rate, model)
     return Model(learned, rate, model, IsotonicRegression(featuresCol="margin", labelCol="label").fit(held))
 
