@@ -13,6 +13,7 @@ no list knows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from airmon.llm.base import let, written
 from airmon.llm.pii import blocks_of, cut, matches, untouched
 
-#: Labelled findings for the forest, about (a hash of place and value decides), and its size.
-SAMPLE, TREES, DEPTH = 20_000, 30, 6
-#: Documents that the dictionary is learned from, about; the most frequent words it keeps; their least length.
-DICTIONARY_DOCS, DICTIONARY_WORDS, WORD_LETTERS = 2_000, 5_000, 4
+#: The size of the forest.
+TREES, DEPTH = 30, 6
+#: A word of the corpus has at least so many letters and is in at least this share of all documents, and in two.
+WORD_LETTERS, WORD_SHARE = 4, 1e-3
 # Naming words, formats of well-known keys and digests, words of placeholders and of paths.
 NAMES = (r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|auth(?:orization)?|bearer|credentials?"
          r"|contraseña|passwort|motdepasse)")
@@ -91,16 +92,35 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     return rows.select("doc_id", "path", F.explode_outer(near).alias("c")).where("c.start IS NOT NULL").select("doc_id", "c.*", "path")
 
 
-def dictionary(docs: DataFrame) -> list[str]:
-    """The most frequent longer words, by documents, of a bounded sample of the corpus."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, DICTIONARY_DOCS / max(1, n))))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0)))
-    counts = some.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    return sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).collect())
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0))
 
 
-def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(w): the longer words of the corpus, those in at least WORD_SHARE of all documents and in two; all texts are counted."""
+    least = max(2.0, WORD_SHARE * docs.count())
+    words = docs.select(F.explode(F.array_distinct(letter_runs(F.col("text")))).alias("w"))
+    return words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("w")
+
+
+def in_dictionary(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``rows`` with ``known``, the letters of a value that words of the dictionary cover, and ``word``, whether it is one as a whole.
+
+    Different values are looked up once each, so copies of a value do not meet the dictionary.
+    """
+    runs = rows.select("value").distinct().select("value", F.explode(letter_runs(F.col("value"))).alias("w"))
+    found = runs.join(words, "w").groupBy("value").agg(
+        F.sum(F.char_length("w")).alias("known"), F.max(F.col("w") == F.lower("value")).alias("word"))
+    return rows.join(found, "value", "left").select(*rows.columns, F.coalesce("known", F.lit(0)).alias("known"), F.coalesce("word", F.lit(False)).alias("word"))
+
+
+def with_features(rows: DataFrame, words: DataFrame | Sequence[str]) -> DataFrame:
+    """``rows`` with the forest's features and ``a_word``; ``words`` is a dictionary, or empty."""
+    given = rows.columns
+    if isinstance(words, DataFrame):
+        rows = in_dictionary(rows, words)
+    else:
+        rows = rows.withColumns({"known": F.lit(0), "word": F.lit(False)})
     v, before = F.col("value"), F.col("before")
     n = F.greatest(F.char_length(v), F.lit(1))
     left = lambda pattern: F.char_length(F.regexp_replace(v, pattern, ""))
@@ -108,19 +128,16 @@ def with_features(rows: DataFrame, words: list[str]) -> DataFrame:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
         F.regexp_replace(v, "[^A-Za-z0-9]", "#"), "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a"), "#+", "#")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    runs = F.regexp_extract_all(F.lower(v), F.lit(rf"\p{{L}}{{{WORD_LETTERS},}}"), F.lit(0))
-    known = F.aggregate(F.filter(runs, lambda w: w.isin(words) if words else F.lit(False)), F.lit(0), lambda s, w: s + F.char_length(w))
     values = {
         "length": F.least(n, F.lit(200)).cast("double"), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "lowers": share("[a-z]"),
         "signs": share("[^A-Za-z0-9]"), "changes": F.char_length(kinds) / n, "turns": (F.char_length(v) - left("[a-zA-Z][0-9]|[0-9][a-zA-Z]")) / n,
-        "kinds": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)), "coverage": known / n, "vowels": share("(?i)[aeiou]"),
+        "kinds": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)), "coverage": F.col("known") / n, "vowels": share("(?i)[aeiou]"),
         "hexadecimal": flag(v.rlike("^[0-9a-f]+$")), "named": flag(F.col("kind") == NAMED), "in_address": flag(F.col("kind") == IN_ADDRESS),
         "quoted": flag(before.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")), "assigned": flag(before.rlike(r"[:=]\s*[\"'`]?$")),
         "sentence": flag(before.rlike(r"\sis\s$")), "before_words": F.size(F.split(F.trim(before), r"\s+")).cast("double"),
         "risky_path": flag(F.col("path").rlike(RISKY_PATH)), "safe_path": flag(F.col("path").rlike(SAFE_PATH)),
     }
-    word = F.lower(v).isin(words) if words else F.lit(False)
-    return rows.select("*", *(values[f].alias(f) for f in FEATURES), flag(word).alias("a_word"))
+    return rows.select(*given, *(values[f].alias(f) for f in FEATURES), flag(F.col("word")).alias("a_word"))
 
 
 def rule_labels(rows: DataFrame) -> DataFrame:
@@ -137,15 +154,11 @@ def rule_labels(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> PipelineModel | float:
-    """A forest from labelled candidates; or the share of secrets where the labels have one class only."""
-    count = rows.agg(F.count("*").alias("n"), F.coalesce(F.avg("label"), F.lit(0.0)).alias("rate")).first()
-    if count.rate in (0.0, 1.0):
-        return float(count.rate)
-    # the rarer class is kept longer, so that a bounded sample has both
-    rate = F.when(F.col("label") == 1, min(1.0, SAMPLE / 2 / (count.n * count.rate))).otherwise(
-        min(1.0, SAMPLE / 2 / (count.n * (1 - count.rate))))
-    kept = rows.where(F.pmod(F.xxhash64("doc_id", "start", "value"), F.lit(1 << 20)) < rate * (1 << 20))
-    train = written(kept.select("label", *FEATURES), "findings")
+    """A forest from all labelled candidates; or the share of secrets where the labels have one class only."""
+    train = written(rows.select("label", *FEATURES), "findings")
+    rate = float(train.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0])
+    if rate in (0.0, 1.0):
+        return rate
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=42, featureSubsetStrategy="sqrt")
     return PipelineModel([assembler, forest.fit(assembler.transform(train))])
@@ -156,11 +169,12 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
 
     ``findings`` (doc_id, start, label 0 or 1) are labelled findings to train on; without them rules label.  Null and
     empty texts have no candidates, a null path is the empty path, a null doc_id stays.  Repeated rows give repeated
-    rows; an empty table none.  Besides doc_id and text only source is read, as the path.  Texts are searched once: the
-    candidates, far smaller, are written and read again for training and scoring.
+    rows; an empty table none.  Besides doc_id and text only source is read, as the path.  Texts are searched once for
+    candidates and once for words: candidates with their features, far smaller, are written and read again for training
+    and scoring.
     """
     found = written(candidates(docs), "candidates")
-    rows = with_features(found, dictionary(docs))
+    rows = written(with_features(found, dictionary(docs)), "features")
     if findings is None:
         labelled = rule_labels(rows)
     else:

@@ -104,6 +104,31 @@ def test_labels_are_not_a_function_of_what_the_forest_sees(spark):
     assert (a.label, b.label) == (1.0, 0.0) and all(a[f] == b[f] for f in secret_scan.FEATURES)
 
 
+def test_dictionary_counts_all_documents(spark):
+    # 5,200 words in three documents each of 2,600, one in two, one in one: no sample finds them all, no number cuts them
+    def name(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(3, -1, -1))
+    texts = [" ".join(name(j) for j in {2 * i % 5200, (2 * i + 1) % 5200, (2 * i + 2) % 5200, (2 * i + 3) % 5200, (2 * i + 4) % 5200, (2 * i + 5) % 5200})
+             for i in range(2600)]
+    texts[0] += " twodocs onlyone"
+    texts[1] += " twodocs"
+    docs = documents(spark, texts + [None, ""])
+    want = {name(j) for j in range(5200)}
+    assert {r.w for r in secret_scan.dictionary(docs).collect()} == want
+    # repeats count as one in a document, and the value meets the dictionary in any case of letters
+    found = spark.createDataFrame([("Aaab-zzzz-AAAB-x1",), ("aaab",), ("aaab",), ("0123",)], "value string")
+    got = secret_scan.in_dictionary(found, secret_scan.dictionary(docs)).collect()
+    assert sorted(map(tuple, got)) == [("0123", 0, False), ("Aaab-zzzz-AAAB-x1", 8, False), ("aaab", 4, True), ("aaab", 4, True)]
+
+
+def test_the_forest_learns_from_every_labelled_finding(spark):
+    rows = spark.range(30_000).select((F.col("id") % 2).cast("double").alias("label"), "id", F.lit(0).alias("start"), F.col("id").cast("string").alias("value"),
+                                      *((F.col("id") % 2 + 0.0).alias(f) for f in secret_scan.FEATURES)).withColumnRenamed("id", "doc_id")
+    model = secret_scan.fit(rows)
+    seen = model.stages[1].trees[0]._call_java("rootNode").impurityStats().count()
+    assert abs(seen - 30_000) < 1_000
+
+
 def test_plan_has_no_python(spark):
     text = plan(op6_secret_scan(spark, SF)) + plan(secret_scan.candidates(spark.read.parquet(f"{SF}/documents.parquet")))
     assert not re.search("Python|Arrow|Pandas|CartesianProduct", text)
