@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from airmon.llm.base import fold
+from airmon.llm.base import fold, ranked, written
 
 #: The training sample: for each language at most this many documents, spread by a hash of the id, and this many
 #: characters of each (32,768 in all), in pieces spread over the whole text.  It bounds the automata; predictions
@@ -38,11 +38,15 @@ def pieces(text: str, seed: str) -> Column:
     return F.when(n <= SAMPLE_CHARS, F.col(text)).otherwise(F.concat_ws(" ", *cut))
 
 
-def sampled(docs: DataFrame, held_out: bool) -> DataFrame:
-    """(lang, slot, part): the sample of each language from the held-out fold or from the others."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold("doc_id", 5) == 0) == held_out))
+def labelled(docs: DataFrame, held_out: bool) -> DataFrame:
+    """The rows with text and language of the held-out fold or of the others."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ((fold("doc_id", 5) == 0) == held_out))
+
+
+def sampled(docs: DataFrame) -> DataFrame:
+    """(lang, slot, part): the training sample of each language."""
     return (
-        known.select("lang", "doc_id", pieces("text", "doc_id").alias("part"))
+        labelled(docs, False).select("lang", "doc_id", pieces("text", "doc_id").alias("part"))
         .withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_DOCS)))
         .groupBy("lang", "slot").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("o"), "doc_id", "part")).alias("m"))
         .select("lang", "slot", "m.part")
@@ -52,7 +56,7 @@ def sampled(docs: DataFrame, held_out: bool) -> DataFrame:
 def training_text(docs: DataFrame) -> dict[str, str]:
     """Language to its sample; rows of the held-out fold and rows without text or language teach nothing."""
     out: dict[str, str] = {}
-    for r in sorted(sampled(docs, False).collect()):
+    for r in sorted(sampled(docs).collect()):
         out[r.lang] = out.get(r.lang, "") + " " + r.part
     return dict(sorted(out.items()))
 
@@ -202,14 +206,15 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def usual_bits(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> dict[str, float]:
-    """Language to the median bits a character of its held-out sample, at the phrase cost of the longest training text.
+    """Language to the median bits a character of all its held-out documents, whole texts, at the phrase cost of the longest
+    training text.
 
     Languages without any held-out document have the median over those that have some.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(learned)
         for b in batches:
-            codes = [normal(t) for t in b.column("part").to_pylist()]
+            codes = [normal(t) for t in b.column("text").to_pylist()]
             cost = p.phrases(codes) * p.bits.max()
             bits = [float(c[p.langs.index(lang)] / len(x)) if lang in p.langs and (x != 32).any() else None
                     for lang, c, x in zip(b.column("lang").to_pylist(), cost, codes)]
@@ -217,8 +222,10 @@ def usual_bits(docs: DataFrame, learned: tuple[tuple[str, str], ...]) -> dict[st
 
     if not learned:
         return {}
-    rows = sampled(docs, True).select("lang", "part").mapInArrow(run, "lang string, bits double").where("bits IS NOT NULL")
-    found = rows.groupBy("lang").agg(F.expr("percentile(bits, 0.5)").alias("bits"))
+    rows = labelled(docs, True).select("lang", "text").mapInArrow(run, "lang string, bits double").where("bits IS NOT NULL")
+    # the one or two in the middle of the order; no task holds a language
+    placed = ranked(written(rows, "bits"), ["lang"], ["bits"], "bits_in_order")
+    found = placed.where((F.col("rank") * 2).between(F.col("total") - 2, F.col("total"))).groupBy("lang").agg(F.avg("bits").alias("bits"))
     own = {r.lang: r.bits for r in found.collect()}
     return {lang: own.get(lang, float(np.median(list(own.values())))) for lang, _ in learned} if own else {}
 

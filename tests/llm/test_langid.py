@@ -87,6 +87,27 @@ def test_training_reads_beyond_a_shared_header(spark):
     assert len(text) <= 20 * (langid.SAMPLE_CHARS + langid.PIECES) and text.count("sylter") > text.count("Permission")
 
 
+def test_usual_bits_are_the_median_of_whole_held_out_texts(spark):
+    # more held-out documents than any sample of 64 would take, each with a body unlike its first part
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdef"), rng.integers(2, 6)))
+    ids, texts, langs = [], [], []
+    for i in range(900):
+        known, new = " ".join(["der die das"] * int(rng.integers(1, 60))), " ".join(word() for _ in range(int(rng.integers(1, 200))))
+        ids, texts, langs = [*ids, i], [*texts, f"{known} {new}"], [*langs, ["de", "en"][i % 2]]
+    docs = documents(spark, texts + ["123", None], langs=langs + ["de", "de"], ids=ids + [901, 902])
+    learned = tuple(langid.training_text(docs).items())
+    p = langid.parser(learned)
+    held = {r.doc_id for r in docs.where(langid.fold("doc_id", 5) == 0).collect()}
+    want = {}
+    for lang in ("de", "en"):
+        codes = [langid.normal(t) for i, t, x in zip(ids, texts, langs) if i in held and x == lang]
+        assert len(codes) > 64
+        cost = p.phrases(codes)[:, p.langs.index(lang)] * p.bits.max()
+        want[lang] = float(np.median(cost / [len(c) for c in codes]))
+    assert langid.usual_bits(docs, learned) == pytest.approx(want, rel=1e-12)
+
+
 FINNISH = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
            "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin.")
 RUSSIAN = ("Все люди рождаются свободными и равными в своем достоинстве и правах", "Каждый человек имеет право на жизнь, на труд и отдых")
